@@ -1,0 +1 @@
+"""No streaming operator: the engine's plans are batch scans and joins only."""

@@ -1,0 +1,196 @@
+"""Fixtures for NULL, NaN, duplicate, long-string and tree-shape behaviour; random plans
+against a nested-loop evaluator; plan shapes."""
+
+import math
+from collections import Counter
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import types as T
+
+from joinloom import DataType, JoinNode, Plan, PlanError, PlanTypeError, ScanNode, TableInput, compile_plan
+from joinloom.functions.keys import semi_reduced
+
+I32, I64, F64, STR = DataType.INT32, DataType.INT64, DataType.FP64, DataType.VARCHAR
+
+
+def table(spark, types, rows, pk=None):
+    schema = T.StructType([T.StructField(f"x{i}", t.spark) for i, t in enumerate(types)])
+    return TableInput(spark.createDataFrame(rows, schema), pk)
+
+
+def pair(spark, key, left, right, **options):
+    plan = Plan(inputs=[table(spark, [key, STR], left), table(spark, [key, STR], right)])
+    a, b = plan.add_scan(0, [(0, key), (1, STR)]), plan.add_scan(1, [(0, key), (1, STR)])
+    plan.root = plan.add_join(a, b, 0, 0, [(0, key), (1, STR), (3, STR)], options.pop("build_left", False))
+    return [tuple(r) for r in compile_plan(plan, **options).collect()]
+
+
+def test_null_keys_never_match(spark):
+    assert pair(spark, I32, [(None, "ln"), (1, "l1")], [(None, "rn"), (1, "r1")]) == [(1, "l1", "r1")]
+
+
+def test_duplicates_multiply(spark):
+    assert len(pair(spark, I32, [(1, "a"), (1, "b")], [(1, "x")] * 3)) == 6
+
+
+def test_smallest_int_is_a_value(spark):
+    assert pair(spark, I32, [(-(2**31), "l")], [(-(2**31), "r")]) == [(-(2**31), "l", "r")]
+
+
+def test_nan_matches_nothing_and_zeros_match(spark):
+    rows = [(math.nan, "n"), (0.0, "p"), (-0.0, "m")]
+    assert len(pair(spark, F64, rows, rows)) == 4
+
+
+def test_strings_are_byte_exact(spark):
+    assert len(pair(spark, STR, [("a", "1"), ("a ", "2"), ("A", "3"), ("", "4")], [("a", "x"), ("", "y")])) == 2
+
+
+@pytest.mark.parametrize(("left", "right"), [([], [(1, "r")]), ([(1, "l")], [])])
+def test_empty_side(spark, left, right):
+    assert pair(spark, I32, left, right) == []
+
+
+@pytest.mark.parametrize(("keys", "count"), [([16, 1, 9, 2, 10, 24], 6), ([9, 17, 10, 18], 4), ([7, 8, 8, 0, 1, 7], 10)])
+def test_key_multisets(spark, keys, count):
+    rows = [(k, str(i)) for i, k in enumerate(keys)]
+    assert len(pair(spark, I32, rows, rows)) == count
+
+
+def test_null_payload_is_kept(spark):
+    assert pair(spark, I32, [(1, None)], [(1, "r")]) == [(1, None, "r")]
+
+
+def test_scan_root_and_null_row(spark):
+    rows = [(1, 2, 3.0, "a"), (None, None, None, None), (-1, -2, -3.0, "")]
+    plan = Plan(inputs=[table(spark, [I32, I64, F64, STR], rows)])
+    plan.add_scan(0, [(0, I32), (1, I64), (2, F64), (3, STR)])
+    assert Counter(map(tuple, compile_plan(plan).collect())) == Counter(rows)
+
+
+def test_projection_reorders_and_repeats(spark):
+    plan = Plan(inputs=[table(spark, [I32, STR], [(1, "b1"), (2, "b2")]), table(spark, [I32, STR], [(1, "d1"), (2, "d2")])])
+    a, b = plan.add_scan(0, [(0, I32), (1, STR)]), plan.add_scan(1, [(0, I32), (1, STR)])
+    plan.root = plan.add_join(a, b, 0, 0, [(3, STR), (0, I32), (0, I32), (1, STR)])
+    assert sorted(map(tuple, compile_plan(plan).collect())) == [("d1", 1, 1, "b1"), ("d2", 2, 2, "b2")]
+
+
+@pytest.mark.parametrize("strings", ["early", "late"])
+def test_long_strings(spark, strings):
+    sizes = [0, 8185, 8186, 8188, 8189, 20000]
+    plan = Plan(inputs=[table(spark, [I32, STR], [(i, "é"[: n % 2] + "x" * n) for i, n in enumerate(sizes)], 0), table(spark, [I32], [(i,) for i in range(6)])])
+    a, b = plan.add_scan(0, [(0, I32), (1, STR)]), plan.add_scan(1, [(0, I32)])
+    plan.root = plan.add_join(a, b, 0, 0, [(0, I32), (1, STR)])
+    assert dict(map(tuple, compile_plan(plan, strings=strings).collect())) == {i: "é"[: n % 2] + "x" * n for i, n in enumerate(sizes)}
+
+
+@pytest.mark.parametrize("rows", [1983, 1984, 1985, 3969])
+def test_page_edges(spark, rows):
+    data = [(None if i % 7 == 0 else i,) for i in range(rows)]
+    plan = Plan(inputs=[table(spark, [I32], data)])
+    a = plan.add_scan(0, [(0, I32)])
+    plan.root = plan.add_join(a, a, 0, 0, [(0, I32)])
+    assert compile_plan(plan).count() == sum(x[0] is not None for x in data)
+
+
+def test_errors(spark):
+    plan = Plan(inputs=[table(spark, [I32], [(1,)]), table(spark, [I64], [(1,)])])
+    a, b = plan.add_scan(0, [(0, I32)]), plan.add_scan(1, [(0, I64)])
+    plan.root = plan.add_join(a, b, 0, 0, [(0, I32)])
+    with pytest.raises(PlanTypeError):
+        compile_plan(plan)
+    plan.root = plan.add_scan(0, [(0, I64)])
+    with pytest.raises(PlanTypeError):
+        compile_plan(plan)
+    plan.root = plan.add_scan(0, [(4, I32)])
+    with pytest.raises(PlanError):
+        compile_plan(plan)
+    plan.root = plan.add_join(5, 0, 0, 0, [(0, I32)])
+    with pytest.raises(PlanError, match="ancestor"):
+        compile_plan(plan)
+    with pytest.raises(PlanError):
+        compile_plan(Plan())
+    plan.root = a
+    with pytest.raises(PlanError):
+        compile_plan(plan, names=["x", "X"])
+    with pytest.raises(PlanError):
+        compile_plan(plan, build="fast")
+
+
+def test_json_round_trip(spark):
+    plan = Plan(inputs=[table(spark, [I32, STR], [(1, "a")])])
+    a = plan.add_scan(0, [(1, STR), (0, I32)])
+    plan.root = plan.add_join(a, a, 1, 1, [(0, STR), (2, STR)], True)
+    again = Plan.from_json(plan.to_json(), plan.inputs)
+    assert again.nodes == plan.nodes and again.root == plan.root
+    assert [tuple(r) for r in compile_plan(again, strings="late").collect()] == [("a", "a")]
+
+
+def nested_loop(plan, tables, idx):
+    node = plan.nodes[idx]
+    if isinstance(node.data, ScanNode):
+        rows = tables[node.data.base_table_id]
+    else:
+        j: JoinNode = node.data
+        left, right = nested_loop(plan, tables, j.left), nested_loop(plan, tables, j.right)
+        rows = [x + y for x in left for y in right if x[j.left_attr] is not None and x[j.left_attr] == y[j.right_attr]]
+    return [tuple(r[i] for i, _ in node.output_attrs) for r in rows]
+
+
+KEYS = {I32: [None, 0, 1, 2, -(2**31)], I64: [None, 0, 1, 2**40], F64: [None, 0.0, -0.0, 1.5], STR: [None, "", "a", "A", "a "]}
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.data())
+def test_random_plans(spark, data):
+    key = data.draw(st.sampled_from(list(KEYS)))
+    types = [key, STR, I32]
+    tables = [
+        [(data.draw(st.sampled_from(KEYS[key])), data.draw(st.sampled_from([None, "p", "q"])), i) for i in range(data.draw(st.integers(0, 5)))]
+        for _ in range(3)
+    ]
+    plan = Plan(inputs=[table(spark, types, rows, 2) for rows in tables])
+    nodes = [plan.add_scan(data.draw(st.integers(0, 2)), list(enumerate(types))) for _ in range(data.draw(st.integers(2, 4)))]
+    while len(nodes) > 1:
+        i, j = (nodes.pop(data.draw(st.integers(0, len(nodes) - 1))) for _ in range(2))
+        n = len(plan.types(i)) + len(plan.types(j))
+        kinds = plan.types(i) + plan.types(j)
+        rest = data.draw(st.lists(st.integers(0, n - 1), max_size=4))
+        nodes.append(plan.add_join(i, j, 0, 0, [(0, key), *[(r, kinds[r]) for r in rest]], data.draw(st.booleans())))
+    plan.root = nodes[0]
+    want = Counter(nested_loop(plan, tables, plan.root))
+    build = data.draw(st.sampled_from(["none", "auto", "plan", "shuffle_hash", "sort_merge"]))
+    for strings in ("early", "late"):
+        assert Counter(map(tuple, compile_plan(plan, build=build, strings=strings).collect())) == want
+
+
+def explain(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("build_left", "side"), [(True, "BuildLeft"), (False, "BuildRight")])
+def test_build_side(spark, build_left, side):
+    small = TableInput(spark.range(3).selectExpr("CAST(id AS int) AS k"))
+    plan = Plan(inputs=[small, small])
+    a, b = plan.add_scan(0, [(0, I32)]), plan.add_scan(1, [(0, I32)])
+    plan.root = plan.add_join(a, b, 0, 0, [(0, I32)], build_left)
+    broadcast = explain(compile_plan(plan, build="plan"))
+    assert "BroadcastHashJoin" in broadcast and side in broadcast
+    shuffled = explain(compile_plan(plan, build="plan", broadcast_bytes=0))
+    assert "ShuffledHashJoin" in shuffled and side in shuffled
+    assert "Cartesian" not in shuffled
+
+
+def test_scan_reads_only_projected_columns(spark):
+    from joinloom.queries import QUERIES
+
+    text = explain(QUERIES["q19_key_dropped"](spark, "/root/testdata/sf0.001"))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in text
+    assert "IsNotNull(l_orderkey)" in text
+
+
+def test_semi_reduction(spark):
+    a, b = spark.createDataFrame([(1,), (2,), (None,)], "a int"), spark.createDataFrame([(2,), (2,), (None,)], "b int")
+    assert [r.a for r in semi_reduced(a, "a", b, "b").collect()] == [2]
