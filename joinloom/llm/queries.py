@@ -49,3 +49,17 @@ def op8(spark, sf_dir):
     from joinloom.llm.packing import pack
 
     return pack(_read(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    from joinloom.llm.quality import quality
+
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    from joinloom.llm.toxicity import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
