@@ -188,6 +188,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all columns, that are kept: one of each component."""
+    gone = near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+
+
 def _by(key, *order):
     from pyspark.sql import Window
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from joinloom.llm import binary_search, chat, line_dedup, url_filter
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -63,3 +65,36 @@ def op7(spark, sf_dir):
     from joinloom.llm.toxicity import toxicity
 
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark, sf_dir):
+    from joinloom.llm.decontaminate import decontaminate
+
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@query("op6_line_dedup", line_dedup.SQL)
+def op6(spark, sf_dir):
+    return line_dedup.line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "new_text")
+
+
+@query("op3_url_filters", url_filter.SQL)
+def op3(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    return url_filter.url_filter(url_filter.captures_of(pages), url_filter.entries_of(pages)).select("page_id", "blocked", "matched_key")
+
+
+@query("op5_chat_formatting", chat.SQL)
+def op5(spark, sf_dir):
+    return chat.chat_format(_read(spark, sf_dir, "conversations"))
+
+
+#: Bits of a code, neighbours, and which ids are queries (those divisible by it).
+BITS, NEIGHBOURS, EVERY = 64, 10, 50
+
+
+@query("op10_exact_top_k_search", binary_search.sql(BITS, NEIGHBOURS, EVERY))
+def op10(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    return binary_search.top_k(vectors, vectors.filter(f"vec_id % {EVERY} = 0"), BITS, NEIGHBOURS)

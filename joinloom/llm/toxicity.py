@@ -123,23 +123,31 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), mod
     return got["i"][inner].to_numpy(), got["w"][inner].to_numpy(), float(bias.sum())
 
 
+def _scores(texts: list[str], w: np.ndarray, bias: float, bits: int) -> np.ndarray:
+    total = [np.empty(0)]
+    for part in arrays.chunks(np.array([len(t) for t in texts])):
+        x, begin = features(texts[part], bits)
+        hit = np.flatnonzero(w[x])
+        text = np.searchsorted(begin, hit, "right") - 1
+        once = np.unique(text.astype(np.int64) << 32 | x[hit])
+        total.append(bias + np.bincount(once >> 32, w[once & 0xFFFFFFFF], len(begin) - 1))
+    return 1 / (1 + np.exp(-np.clip(np.concatenate(total), -35, 35)))
+
+
+def _dense(model: tuple[np.ndarray, np.ndarray, float], bits: int) -> np.ndarray:
+    w = np.zeros(1 << bits)
+    w[model[0]] = model[1]
+    return w
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], settings: Settings = Settings(), threshold: float = 0.5, modulus: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        at, value, bias = shared.value
-        w = np.zeros(1 << settings.bits)
-        w[at] = value
+        w = _dense(shared.value, settings.bits)
         for b in batches:
-            texts, total = arrays.texts(b.column("text")), []
-            for part in arrays.chunks(np.array([len(t) for t in texts])):
-                x, begin = features(texts[part], settings.bits)
-                hit = np.flatnonzero(w[x])
-                text = np.searchsorted(begin, hit, "right") - 1
-                once = np.unique(text.astype(np.int64) << 32 | x[hit])
-                total.append(bias + np.bincount(once >> 32, w[once & 0xFFFFFFFF], len(begin) - 1))
-            p = 1 / (1 + np.exp(-np.clip(np.concatenate([*total, np.empty(0)]), -35, 35)))
+            p = _scores(arrays.texts(b.column("text")), w, shared.value[2], settings.bits)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     key = F.col("doc_id").cast("long")
@@ -147,6 +155,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], settings
     return docs.select(key.alias("doc_id"), fold.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, that score under the threshold: one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
+
+    def run(batches):
+        w = _dense(shared.value, settings.bits)
+        for b in batches:
+            p = _scores(arrays.texts(b.column("text")), w, shared.value[2], settings.bits)
+            yield b.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of ``docs`` (doc_id, text).
 
