@@ -19,16 +19,19 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     joined back, so a node with very many neighbours is one skewed join key.
     """
     e = work.stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        e = work.stage(large, "large")
+        # One row for each edge, from its smaller end.
+        e = work.stage(both.filter("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         lows = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = e.join(lows, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
-        e = work.stage(small, "small")
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.countDistinct("u")).first()
-        if now == before or now[0] == 0:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-        before = now
+        small = e.join(lows, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        e = work.stage(small.select("x.*").filter("u <> v").distinct(), "small")
+    return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node points to one node that points to none."""
+    many = e.groupBy("u").count().filter("count > 1").select("u")
+    inner = e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi")
+    return many.unionByName(inner).isEmpty()

@@ -14,10 +14,13 @@ very many texts share is common, hence not listed by texts that have enough else
 
 How long lists are worked off: never by all pairs.  A list's members are compared
 with a few hubs of it; once linked, they are one component and need no further
-comparison.  The next round compares only members of different components in the
+comparison.  The first hub is the member whose values are retained most often, as
+the text that others were copied from is; the lists of its copies have it in common.
+The next round compares only members of different components in the
 list: those outside the largest component are hubs, first a few, then more, until
-no list has two components with an untested pair.  So a list of n copies takes n
-comparisons, and no link between components is lost.
+no list has two components with an untested pair.  By then shingles that a text has
+alone rule out most pairs of texts that are alike, but not enough.  So a list of n
+copies takes n comparisons, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from joinloom.llm.workspace import Workspace
 #: Retained values of a sketch.
 K = 64
 #: Hubs of a list in each round; in the last and later ones all that can be.
-HUBS = (1, 16, 256, 1 << 62)
+HUBS = (1, 16, 1 << 62)
 #: Candidates of a node that are verified in each round, best estimates first.
 VERIFIED = (1, 4, 16, 1 << 30)
 #: Rows up to which a table of two or three longs may be broadcast.
@@ -99,29 +102,75 @@ def verified(pairs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _listed(nodes: DataFrame) -> DataFrame:
-    """(v, node): of each node's sketch the rarest values, half of them and one."""
+    """(v, node, weight): of each node's sketch the rarest values, half of them and
+    one.  weight: how often its values are retained in all, large for a node amid many
+    similar ones."""
     held = nodes.select("node", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = held.groupBy("v").count().filter("count > 1")
-    ranked = held.join(often, "v").groupBy("node", "s").agg(F.sort_array(F.collect_list(F.struct("count", "v"))).alias("shared"))
+    ranked = held.join(often, "v").groupBy("node", "s").agg(F.sort_array(F.collect_list(F.struct("count", "v"))).alias("shared"), F.sum("count").alias("weight"))
     length = F.expr("greatest(0, floor(s / 2) + 1 - (s - size(shared)))").cast("int")
-    return ranked.select("node", F.explode(F.slice("shared", F.lit(1), length)).alias("x")).select("x.v", "node")
+    return ranked.select("node", "weight", F.explode(F.slice("shared", F.lit(1), length)).alias("x")).select("x.v", "node", "weight")
 
 
-def _candidates(lists: DataFrame, comp: DataFrame | None, hubs: int, turn: int) -> DataFrame:
+def _active(lists: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(v, node, comp); and of lists with several components (v, big, minor): the
+    component with most members, and how many members are not in it."""
+    member = lists.join(comp, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("id")
+    parts = member.groupBy("v", "comp").agg(F.count("*").alias("n"))
+    active = parts.groupBy("v").agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    return member, active.select("v", (-F.col("most.c")).alias("big"), (F.col("n") - F.col("most.n")).alias("minor"))
+
+
+def _merged(comp: DataFrame | None, links: DataFrame, work: Workspace) -> DataFrame:
+    """Components after more links (a, b).  Only components are linked anew, not nodes."""
+    if comp is None:
+        return components(links, work)
+    old = comp.select(F.col("id").alias("of"), F.col("comp").alias("c"))
+    for end in ("a", "b"):
+        links = links.join(old, F.col(end) == F.col("of"), "left").withColumn(end, F.coalesce("c", end)).drop("of", "c")
+    new = components(links, work)
+    moved = old.join(new, F.col("c") == F.col("id"), "left").select(F.col("of").alias("id"), F.coalesce("comp", "c").alias("comp"))
+    return work.stage(moved.unionByName(new), "components")
+
+
+def _narrowed(lists: DataFrame, comp: DataFrame, sketch: DataFrame, text: DataFrame, n: int, percent: int, work: Workspace) -> DataFrame:
+    """(v, node, n, own) of lists with several components.  own: how many shingles of
+    the node's full set no other node of these lists has.  They are in no
+    intersection, so a pair's similarity is at most (n - own) / (n + the other's own);
+    a node that is under the threshold with every partner is left out."""
+    member, active = _active(lists, comp)
+    member = work.stage(member.join(active, "v", "left_semi").select("v", "node"), "unsettled")
+    nodes = member.select("node").distinct()
+
+    def run(batches):
+        for b in batches:
+            sets = list(_sets(arrays.texts(b.column("text")), n))
+            of = np.repeat(b.column("node").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], ["node", "h"])
+
+    each = text.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, h long")
+    own = each.groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("c")).filter("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    size = sketch.select("node", F.col("n_shingles").alias("n")).join(nodes, "node", "left_semi").join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    size = size.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    return work.stage(member.join(size, "node"), "narrowed")
+
+
+def _candidates(lists: DataFrame, comp: DataFrame | None, hubs: int, turn: int, percent: int) -> DataFrame:
     """(hub, m) of different components in a list, each unordered pair once."""
     if comp is None:
-        heads = lists.groupBy("v").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("v", "hub")
+        heads = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("h"), F.count("*").alias("n")).filter("n > 1")
+        heads = heads.select("v", (-F.col("h.node")).alias("hub"))
         pairs = lists.join(heads, "v").filter("node <> hub").select("hub", F.col("node").alias("m"))
     else:
-        member = lists.join(comp, F.col("node") == F.col("id"), "left").select("v", "node", F.coalesce("comp", "node").alias("comp"))
-        parts = member.groupBy("v", "comp").agg(F.count("*").alias("n"))
-        active = parts.groupBy("v").agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-        active = active.select("v", (-F.col("most.c")).alias("big"), (F.col("n") - F.col("most.n")).alias("minor"))
+        member, active = _active(lists, comp)
         member = member.join(active, "v")
-        some = F.col("minor") <= hubs
-        chosen = some | (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("minor")) < hubs)
-        heads = member.filter((F.col("comp") != F.col("big")) & chosen).select("v", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-        pairs = member.join(heads, "v").filter("comp <> hub_comp").select("hub", F.col("node").alias("m"))
+        # A node's draw is the same in all lists, so that lists alike have hubs alike.
+        draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+        chosen = member.filter((F.col("comp") != F.col("big")) & (draw * F.col("minor") < hubs))
+        heads = chosen.select(F.col("v").alias("hv"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hn"), F.col("own").alias("hown"))
+        shared = F.least(F.col("n") - F.col("own"), F.col("hn") - F.col("hown"))
+        union = F.greatest(F.col("n") + F.col("hown"), F.col("hn") + F.col("own"))
+        pairs = member.join(heads, (F.col("v") == F.col("hv")) & (F.col("comp") != F.col("hub_comp")) & (100 * shared >= percent * union)).select("hub", F.col("node").alias("m"))
     return pairs.select(F.least("hub", "m").alias("hub"), F.greatest("hub", "m").alias("m")).distinct()
 
 
@@ -148,18 +197,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
     text = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(of, "node", "left_semi")
     text = work.stage(text.dropDuplicates(["node"]), "listed-texts")
 
-    links = None
     comp = tested = None
     turn = 0
     while True:
         hubs, most = HUBS[min(turn, len(HUBS) - 1)], VERIFIED[min(turn, len(VERIFIED) - 1)]
-        pairs = _candidates(lists, comp, hubs, turn)
+        pairs = _candidates(lists, comp, hubs, turn, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "m"], "left_anti")
         pairs = work.stage(_estimated(pairs, sketch, k, percent), "estimated")
         count, near = pairs.select(F.count("*"), F.count_if("near")).first()
         if count == 0:
-            if comp is None or hubs == HUBS[-1]:
+            if comp is None or _active(lists, comp)[1].filter(F.col("minor") > hubs).isEmpty():
                 break
             turn += 1
             continue
@@ -170,11 +218,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
             done = work.stage(_verify(tries, text, shingle, percent, near), "verified")
             far = far.unionByName(done.filter("NOT linked").select("hub", "m"))
             found = done.filter("linked").select(F.col("hub").alias("a"), F.col("m").alias("b"))
-            links = found if links is None else links.unionByName(found)
-            comp = components(links, work)
+            comp = _merged(comp, found, work)
         tested = far if tested is None else tested.unionByName(far)
         if comp is None:
             comp = lists.select(F.col("node").alias("id"), F.col("node").alias("comp")).limit(0)
+        if turn == 0:
+            lists = _narrowed(lists, comp, sketch, text, shingle, percent, work)
         turn += 1
 
     member = named.select("doc_id", "d1", "d2").join(groups, ["d1", "d2"])
@@ -202,14 +251,15 @@ def _by(key, *order):
 
 def _estimated(pairs: DataFrame, sketch: DataFrame, k: int, percent: int) -> DataFrame:
     """hub, m, estimate, near: whether sizes and the union's sketch allow a link."""
-    a = sketch.select(F.col("node").alias("hub"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    b = sketch.select(F.col("node").alias("m"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    short = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))  # in the same order; enough for an estimate
+    a = sketch.select(F.col("node").alias("hub"), short.alias("sa"), F.col("n_shingles").alias("na"))
+    b = sketch.select(F.col("node").alias("m"), short.alias("sb"), F.col("n_shingles").alias("nb"))
     x = pairs.join(a, "hub").join(b, "m")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     x = x.select("hub", "m", "na", "nb", union.alias("u"), F.array_intersect("sa", "sb").alias("i"))
     estimate = F.size(F.array_intersect("i", "u")) / F.size("u")
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return x.select("hub", "m", estimate.alias("estimate"), (fits & (estimate >= 0.5 * percent / 80)).alias("near"))
+    return x.select("hub", "m", estimate.alias("estimate"), (fits & (estimate >= percent / 100 - 0.25)).alias("near"))
 
 
 def _verify(tries: DataFrame, text: DataFrame, n: int, percent: int, count: int) -> DataFrame:
