@@ -65,6 +65,13 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that fewer texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def chunks(lengths: np.ndarray) -> Iterator[slice]:
     """Slices of rows of about CHUNK bytes together, one row at least."""
     first, held = 0, 0

@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates.
 
-A text's tokens are canonicalised twice: plainly (A-Z lower-cased), and as a
+A text's tokens are canonicalised twice: plainly (A-Z and the capitals of Latin-1 lower-cased), and as a
 template in which numbers, units after a number, and names are typed placeholders.
 Windows of tokens are hashed and joined with the windows of the benchmark's items.
 Matching windows of a text and an item on one diagonal are one alignment; in it each
@@ -67,6 +67,7 @@ class Tokens:
 
 def tokens(batch: list[str]) -> Tokens:
     buf, starts = arrays.joined(batch)
+    upper = np.concatenate([[False], (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)])
     digit = _DIGIT[buf]
     # A point or comma between digits belongs to the number.
     inner = np.zeros(len(buf), bool)
@@ -77,14 +78,14 @@ def tokens(batch: list[str]) -> Tokens:
     kept = kinds[begin] > 0 if len(begin) else np.empty(0, bool)
     begin, end = begin[kept], end[kept]
     number = kinds[begin] == 1
-    plain = arrays.span_hashes(buf, begin, end, fold=True)
+    plain = arrays.span_hashes(buf + np.where(upper, 0x20, 0).astype(np.uint8), begin, end, fold=True)
     first = np.searchsorted(begin, starts)
     stops = np.concatenate([[0], np.cumsum(_STOP[buf])])
     before = np.concatenate([[0], end[:-1]]) if len(end) else end
     opens = stops[begin] > stops[before]
     opens[first[first < len(begin)]] = True
     after = np.minimum(begin + 1, len(buf) - 1)
-    capital = ((buf[begin] >= 65) & (buf[begin] <= 90)) | ((buf[begin] == 0xC3) & (buf[after] >= 0x80) & (buf[after] <= 0x9E))
+    capital = ((buf[begin] >= 65) & (buf[begin] <= 90)) | upper[after]
     follows = np.concatenate([[False], number[:-1]]) & ~opens if len(number) else number
     unit = ~number & follows & np.isin(plain, _unit_hashes())
     name = ~number & ~unit & capital & ~opens
@@ -229,7 +230,7 @@ def _search(keyed: DataFrame, block: list[tuple[int, str]], s: Settings) -> Data
     shared = keyed.sparkSession.sparkContext.broadcast(Index(block, s))
 
     def run(batches):
-        for b in batches:
+        for b in arrays.slices(batches):
             texts, found = arrays.texts(b.column("text")), []
             for part in arrays.chunks(np.array([len(t) for t in texts])):
                 found += shared.value.search(texts[part])
@@ -248,7 +249,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Se
 
 def _clean(docs: DataFrame, shared) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in arrays.slices(batches):
             texts, found = arrays.texts(b.column("text")), []
             for part in arrays.chunks(np.array([len(t) for t in texts])):
                 found += shared.value.search(texts[part])

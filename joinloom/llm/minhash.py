@@ -71,7 +71,7 @@ def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
     """doc_id, n_shingles, d1 and d2 (a digest of the set), sketch."""
 
     def run(batches):
-        for b in batches:
+        for b in arrays.slices(batches):
             size, digests, values, ends = [], [], [], [0]
             for s in _sets(arrays.texts(b.column("text")), n):
                 size.append(len(s))
@@ -90,7 +90,7 @@ def verified(pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """pairs (hub, m, text_hub, text_m) -> (hub, m, linked), by their full sets."""
 
     def run(batches):
-        for b in batches:
+        for b in arrays.slices(batches):
             left, right = arrays.texts(b.column("text_hub")), arrays.texts(b.column("text_m"))
             linked = []
             for s, t in zip(_sets(left, n), _sets(right, n), strict=True):
@@ -143,7 +143,7 @@ def _narrowed(lists: DataFrame, comp: DataFrame, sketch: DataFrame, text: DataFr
     nodes = member.select("node").distinct()
 
     def run(batches):
-        for b in batches:
+        for b in arrays.slices(batches):
             sets = list(_sets(arrays.texts(b.column("text")), n))
             of = np.repeat(b.column("node").to_numpy(), [len(x) for x in sets])
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], ["node", "h"])

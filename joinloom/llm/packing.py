@@ -75,7 +75,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def run(batches):
         vocab = bpe.load(vocabulary)
         kind = "<u2" if max(int(vocab.merged.max(initial=0)), end_id, *vocab.special.values()) < 1 << 16 else "<u4"
-        for b in batches:
+        for b in arrays.slices(batches):
             texts, ids, n = arrays.texts(b.column("text")), [], []
             for s in bpe.chunks(texts):
                 flat, at = vocab.encode(texts[s])

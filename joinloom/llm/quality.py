@@ -119,7 +119,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, x: the statistics of each row's whole text."""
 
     def run(batches):
-        for b in batches:
+        for b in arrays.slices(batches):
             texts = arrays.texts(b.column("text"))
             x = [statistics(texts[s]) for s in arrays.chunks(np.array([len(t) for t in texts]))]
             flat = np.concatenate([*x, np.empty((0, len(STATS)))])

@@ -22,7 +22,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
 
     def run(batches):
         vocab = bpe.load(vocabulary)
-        for b in batches:
+        for b in arrays.slices(batches):
             texts = arrays.texts(b.column("text"))
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             counts = [vocab.count(texts[s]) for s in bpe.chunks(texts)]

@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), mod
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(s.rows).dropDuplicates(["doc_id"])
 
     def extract(batches):
-        for b in batches:
+        for b in arrays.slices(batches):
             texts = arrays.texts(b.column("text"))
             out = []
             for part in arrays.chunks(np.array([len(t) for t in texts])):
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], settings
 
     def run(batches):
         w = _dense(shared.value, settings.bits)
-        for b in batches:
+        for b in arrays.slices(batches):
             p = _scores(arrays.texts(b.column("text")), w, shared.value[2], settings.bits)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -161,7 +161,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
 
     def run(batches):
         w = _dense(shared.value, settings.bits)
-        for b in batches:
+        for b in arrays.slices(batches):
             p = _scores(arrays.texts(b.column("text")), w, shared.value[2], settings.bits)
             yield b.filter(pa.array(p < threshold))
 
