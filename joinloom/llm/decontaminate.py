@@ -5,8 +5,8 @@ template in which numbers, units after a number, and names are typed placeholder
 Windows of tokens are hashed and joined with the windows of the benchmark's items.
 Matching windows of a text and an item on one diagonal are one alignment; in it each
 placeholder's value in the item must stand for one value in the text and the other
-way round.  An item whose tokens the consistent windows cover to the asked share is
-in the text, whether verbatim or with other parameters.
+way round.  An item is in the text if the consistent windows of an alignment, and
+verbatim windows anywhere, cover the asked share of its tokens.
 
 The benchmark's windows are broadcast in blocks of bounded size, one pass over the
 texts for each block; an ordinary benchmark is one block.
@@ -162,31 +162,36 @@ class Index:
             key = np.stack([text, hits[1], hits[0] - hits[2]])[:, order]
             new = np.concatenate([[True], (np.diff(key, axis=1) != 0).any(axis=0)])
             edge = np.append(np.flatnonzero(new), key.shape[1])
-            covers: dict[tuple[int, int], np.ndarray] = {}
+            covers: dict[tuple[int, int], tuple[np.ndarray, list[np.ndarray]]] = {}
             for i, j in zip(edge, edge[1:], strict=False):
                 d, m = int(key[0, i]), int(key[1, i])
                 own = self.items[m]
-                mark = covers.setdefault((d, m), np.zeros(len(own.plain), bool))
-                self._align(t, own, hits[0][order[i:j]], hits[2][order[i:j]], n, mark)
-            for (d, m), mark in covers.items():
-                if mark.mean() >= self.s.covered:
+                verbatim, aligned = covers.setdefault((d, m), (np.zeros(len(own.plain), bool), []))
+                aligned.append(self._align(t, own, hits[0][order[i:j]], hits[2][order[i:j]], n, verbatim))
+            for (d, m), (verbatim, aligned) in covers.items():
+                share = max(float((verbatim | x).mean()) for x in aligned)
+                if share >= self.s.covered:
                     for one in self.ids[m]:
-                        out[d][one] = max(out[d].get(one, 0.0), float(mark.mean()))
+                        out[d][one] = max(out[d].get(one, 0.0), share)
         return out
 
     @staticmethod
-    def _align(t: Tokens, own: Tokens, pos: np.ndarray, at: np.ndarray, n: int, mark: np.ndarray) -> None:
-        """Marks the item's tokens that windows with consistent slots cover."""
+    def _align(t: Tokens, own: Tokens, pos: np.ndarray, at: np.ndarray, n: int, verbatim: np.ndarray) -> np.ndarray:
+        """The item's tokens that this alignment's windows cover with slots that are
+        consistent in it; those covered word for word are marked in ``verbatim`` too."""
+        mark = np.zeros(len(own.plain), bool)
         there: dict[int, int] = {}
         back: dict[int, int] = {}
         for p, a in zip(pos.tolist(), at.tolist(), strict=True):
             slots = np.flatnonzero(own.slot[a : a + n] | t.slot[p : p + n])
-            pairs = [(int(own.plain[a + k]), int(t.plain[p + k])) for k in slots]
-            ok = all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs) and len({x for x, _ in pairs}) == len(set(pairs)) == len({y for _, y in pairs})
-            if ok:
+            pairs = {(int(own.plain[a + k]), int(t.plain[p + k])) for k in slots}
+            if all(x == y for x, y in pairs):
+                verbatim[a : a + n] = True
+            if all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs) and len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
                 there.update(pairs)
                 back.update((y, x) for x, y in pairs)
                 mark[a : a + n] = True
+        return mark
 
 
 def _blocks(benchmark: DataFrame, s: Settings):

@@ -41,7 +41,7 @@ K = 64
 #: Hubs of a list in each round; in the last and later ones all that can be.
 HUBS = (1, 16, 1 << 62)
 #: Candidates of a node that are verified in each round, best estimates first.
-VERIFIED = (1, 4, 16, 1 << 30)
+VERIFIED = (1, 4, 1 << 30)
 #: Rows up to which a table of two or three longs may be broadcast.
 BROADCAST_ROWS = 100_000
 
