@@ -27,7 +27,7 @@ def planted(seed=4):
             toxic.add(i)
         if i % 10 == 2:
             lines.append(r.choice(passages))
-        if i % 15 == 3:
+        if i % 15 == 3 and i % 8 != 4:
             lines[-1] += " " + r.choice(items)
             leaks.add(i)
         if i % 8 == 4:
