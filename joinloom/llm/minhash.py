@@ -19,8 +19,9 @@ the text that others were copied from is; the lists of its copies have it in com
 The next round compares only members of different components in the
 list: those outside the largest component are hubs, first a few, then more, until
 no list has two components with an untested pair.  By then shingles that a text has
-alone rule out most pairs of texts that are alike, but not enough.  So a list of n
-copies takes n comparisons, and no link between components is lost.
+alone, and those of the first hub that it is missing, rule out most pairs of texts
+that are alike, but not enough.  So a list of n copies takes n comparisons, and no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joinloom.llm import arrays
@@ -87,18 +88,20 @@ def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """pairs (hub, m, text_hub, text_m) -> (hub, m, linked), by their full sets."""
+    """pairs (hub, m, text_hub, text_m) -> (hub, m, linked, missing), by their full
+    sets; missing: how many of hub's shingles m doesn't have."""
 
     def run(batches):
         for b in arrays.slices(batches):
             left, right = arrays.texts(b.column("text_hub")), arrays.texts(b.column("text_m"))
-            linked = []
+            linked, missing = [], []
             for s, t in zip(_sets(left, n), _sets(right, n), strict=True):
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 linked.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("m"), pa.array(linked, pa.bool_())], ["hub", "m", "linked"])
+                missing.append(len(s) - both)
+            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("m"), pa.array(linked, pa.bool_()), pa.array(missing, pa.int64())], ["hub", "m", "linked", "missing"])
 
-    return pairs.select("hub", "m", "text_hub", "text_m").mapInArrow(run, "hub long, m long, linked boolean")
+    return pairs.select("hub", "m", "text_hub", "text_m").mapInArrow(run, "hub long, m long, linked boolean, missing long")
 
 
 def _listed(nodes: DataFrame) -> DataFrame:
@@ -133,14 +136,18 @@ def _merged(comp: DataFrame | None, links: DataFrame, work: Workspace) -> DataFr
     return work.stage(moved.unionByName(new), "components")
 
 
-def _narrowed(lists: DataFrame, comp: DataFrame, sketch: DataFrame, text: DataFrame, n: int, percent: int, work: Workspace) -> DataFrame:
-    """(v, node, n, own) of lists with several components.  own: how many shingles of
-    the node's full set no other node of these lists has.  They are in no
-    intersection, so a pair's similarity is at most (n - own) / (n + the other's own);
-    a node that is under the threshold with every partner is left out."""
+def _narrowed(lists: DataFrame, comp: DataFrame, base: DataFrame | None, sketch: DataFrame, text: DataFrame, n: int, percent: int, work: Workspace) -> DataFrame:
+    """(v, node, n, own, base, missing) of lists with several components.
+
+    own: how many shingles of the node's full set no other node of these lists, and no
+    base, has.  base: the hub it was compared with in the first round, and how many of
+    that one's shingles it is missing (null if none).  See ``_difference``.
+    """
     member, active = _active(lists, comp)
     member = work.stage(member.join(active, "v", "left_semi").select("v", "node"), "unsettled")
+    base = base if base is not None else member.select("node", F.col("node").alias("base"), F.lit(0).cast("long").alias("missing")).limit(0)
     nodes = member.select("node").distinct()
+    counted = nodes.unionByName(base.select(F.col("base").alias("node"))).distinct()
 
     def run(batches):
         for b in arrays.slices(batches):
@@ -148,15 +155,26 @@ def _narrowed(lists: DataFrame, comp: DataFrame, sketch: DataFrame, text: DataFr
             of = np.repeat(b.column("node").to_numpy(), [len(x) for x in sets])
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], ["node", "h"])
 
-    each = text.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, h long")
+    each = text.join(counted, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, h long")
     own = each.groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("c")).filter("c = 1").groupBy("node").agg(F.count("*").alias("own"))
     size = sketch.select("node", F.col("n_shingles").alias("n")).join(nodes, "node", "left_semi").join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
-    size = size.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    size = size.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).join(base, "node", "left")
     return work.stage(member.join(size, "node"), "narrowed")
 
 
+def _difference(a: str, b: str) -> Column:
+    """At least so many shingles are in one of two nodes but not in both: those that a
+    node has alone, and, of a common base's shingles (none of which these are), those
+    that one is missing more than the other.  If what copies add is theirs alone, a
+    copy that differs too much from the base is not linked with any other."""
+    f = lambda side, name: F.col(f"{side}{name}")
+    more = F.when(f(a, "base") == f(b, "base"), F.abs(f(a, "missing") - f(b, "missing"))).otherwise(0)
+    return f(a, "own") + f(b, "own") + more
+
+
 def _candidates(lists: DataFrame, comp: DataFrame | None, hubs: int, turn: int, percent: int) -> DataFrame:
-    """(hub, m) of different components in a list, each unordered pair once."""
+    """(low, high, hub, m) of different components in a list; low and high are hub and m
+    in the order of ids, and each such pair is there once."""
     if comp is None:
         heads = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("h"), F.count("*").alias("n")).filter("n > 1")
         heads = heads.select("v", (-F.col("h.node")).alias("hub"))
@@ -167,11 +185,12 @@ def _candidates(lists: DataFrame, comp: DataFrame | None, hubs: int, turn: int,
         # A node's draw is the same in all lists, so that lists alike have hubs alike.
         draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 31)) / F.lit(float(1 << 31))
         chosen = member.filter((F.col("comp") != F.col("big")) & (draw * F.col("minor") < hubs))
-        heads = chosen.select(F.col("v").alias("hv"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hn"), F.col("own").alias("hown"))
-        shared = F.least(F.col("n") - F.col("own"), F.col("hn") - F.col("hown"))
-        union = F.greatest(F.col("n") + F.col("hown"), F.col("hn") + F.col("own"))
-        pairs = member.join(heads, (F.col("v") == F.col("hv")) & (F.col("comp") != F.col("hub_comp")) & (100 * shared >= percent * union)).select("hub", F.col("node").alias("m"))
-    return pairs.select(F.least("hub", "m").alias("hub"), F.greatest("hub", "m").alias("m")).distinct()
+        heads = chosen.select(F.col("node").alias("hub"), *[F.col(c).alias(f"h{c}") for c in ("v", "comp", "n", "own", "base", "missing")])
+        both, apart = F.col("n") + F.col("hn"), _difference("", "h")
+        fits = 100 * (both - apart) >= percent * (both + apart)
+        pairs = member.join(heads, (F.col("v") == F.col("hv")) & (F.col("comp") != F.col("hcomp")) & fits).select("hub", F.col("node").alias("m"))
+    pairs = pairs.groupBy(F.least("hub", "m").alias("low"), F.greatest("hub", "m").alias("high")).agg(F.max("hub").alias("hub"))
+    return pairs.select("low", "high", "hub", (F.col("low") + F.col("high") - F.col("hub")).alias("m"))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -203,7 +222,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
         hubs, most = HUBS[min(turn, len(HUBS) - 1)], VERIFIED[min(turn, len(VERIFIED) - 1)]
         pairs = _candidates(lists, comp, hubs, turn, percent)
         if tested is not None:
-            pairs = pairs.join(tested, ["hub", "m"], "left_anti")
+            pairs = pairs.join(tested, ["low", "high"], "left_anti")
         pairs = work.stage(_estimated(pairs, sketch, k, percent), "estimated")
         count, near = pairs.select(F.count("*"), F.count_if("near")).first()
         if count == 0:
@@ -211,19 +230,20 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
                 break
             turn += 1
             continue
-        far = pairs.filter("NOT near").select("hub", "m")
+        far = pairs.filter("NOT near").select("low", "high")
         if near:
             best = F.row_number().over(_by("m", F.desc("estimate"), "hub"))
             tries = pairs.filter("near").select("hub", "m", "estimate").withColumn("r", best).filter(F.col("r") <= most).select("hub", "m")
             done = work.stage(_verify(tries, text, shingle, percent, near), "verified")
-            far = far.unionByName(done.filter("NOT linked").select("hub", "m"))
+            far = far.unionByName(done.filter("NOT linked").select(F.least("hub", "m").alias("low"), F.greatest("hub", "m").alias("high")))
             found = done.filter("linked").select(F.col("hub").alias("a"), F.col("m").alias("b"))
             comp = _merged(comp, found, work)
         tested = far if tested is None else tested.unionByName(far)
         if comp is None:
             comp = lists.select(F.col("node").alias("id"), F.col("node").alias("comp")).limit(0)
         if turn == 0:
-            lists = _narrowed(lists, comp, sketch, text, shingle, percent, work)
+            base = done.select(F.col("m").alias("node"), F.col("hub").alias("base"), "missing") if near else None
+            lists = _narrowed(lists, comp, base, sketch, text, shingle, percent, work)
         turn += 1
 
     member = named.select("doc_id", "d1", "d2").join(groups, ["d1", "d2"])
@@ -250,16 +270,16 @@ def _by(key, *order):
 
 
 def _estimated(pairs: DataFrame, sketch: DataFrame, k: int, percent: int) -> DataFrame:
-    """hub, m, estimate, near: whether sizes and the union's sketch allow a link."""
+    """The pairs with estimate and near: whether sizes and the union's sketch allow a link."""
     short = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))  # in the same order; enough for an estimate
     a = sketch.select(F.col("node").alias("hub"), short.alias("sa"), F.col("n_shingles").alias("na"))
     b = sketch.select(F.col("node").alias("m"), short.alias("sb"), F.col("n_shingles").alias("nb"))
     x = pairs.join(a, "hub").join(b, "m")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    x = x.select("hub", "m", "na", "nb", union.alias("u"), F.array_intersect("sa", "sb").alias("i"))
+    x = x.select("low", "high", "hub", "m", "na", "nb", union.alias("u"), F.array_intersect("sa", "sb").alias("i"))
     estimate = F.size(F.array_intersect("i", "u")) / F.size("u")
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return x.select("hub", "m", estimate.alias("estimate"), (fits & (estimate >= percent / 100 - 0.25)).alias("near"))
+    return x.select("low", "high", "hub", "m", estimate.alias("estimate"), (fits & (estimate >= percent / 100 - 0.25)).alias("near"))
 
 
 def _verify(tries: DataFrame, text: DataFrame, n: int, percent: int, count: int) -> DataFrame:
