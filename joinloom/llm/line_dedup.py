@@ -11,8 +11,8 @@ the suffix array whose longest common prefix is that run or longer; each maximal
 repeated run is the union of such intervals' runs.  The first suffix of an interval
 (by doc_id and line) stays; the lines of the others are later copies and go.
 
-Doubling happens inside each row's arrays, so no shuffle is needed for it.  Intervals
-are formed by an aggregation with partial sums and joined back: a run that a third of
+Doubling happens inside each row's arrays, so no shuffle is needed for it.  Runs are
+written once, to the shared folder, and read twice; intervals are formed by an aggregation with partial sums and joined back: a run that a third of
 all texts hold is a skewed join key, never a group in one task.
 """
 
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joinloom.llm.workspace import Workspace
+
 MIN_WORDS = 50
 
 
@@ -112,13 +114,13 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     replace columns of those names.  Empty in, empty out.
     """
     key = F.col("doc_id").cast("long")
-    runs = _runs(docs.select(key.alias("doc_id"), "text"), min_words)
+    runs = Workspace(docs.sparkSession, "line-dedup").stage(_runs(docs.select(key.alias("doc_id"), "text"), min_words), "runs")
     first = runs.groupBy("name", "m").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("name").alias("k"), F.col("m").alias("km"), "first")
     late = runs.join(first, (F.col("name") == F.col("k")) & (F.col("m") == F.col("km"))).filter(F.struct("doc_id", "i") != F.col("first"))
     gone = late.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.struct("i", "last")).alias("gone"))
     gone = gone.select("gone_id", F.array_distinct(F.flatten(F.transform("gone", lambda s: F.sequence(s["i"], s["last"])))).alias("gone"))
-    x = docs.drop("n_lines", "n_removed", "new_text").withColumn("__lines", F.split("text", "\n", -1))
-    x = x.join(gone, key == F.col("gone_id"), "left").drop("gone_id")
+    x = docs.drop("n_lines", "n_removed", "new_text").join(gone, key == F.col("gone_id"), "left").drop("gone_id")
+    x = x.withColumn("__lines", F.split("text", "\n", -1))  # after the join: texts are moved once
     # Blank lines between the lines of a run stay.
     removed = F.filter(F.col("gone"), lambda i: F.trim(F.get(F.col("__lines"), i)) != "")
     x = x.withColumn("gone", F.coalesce(removed, F.array().cast("array<int>")))
