@@ -99,8 +99,7 @@ def statistics(batch: list[str]) -> np.ndarray:
     once, _ = distinct(arrays.span_hashes(buf, line_begin, line_end), line_of, some_lines)
     first, last = buf[begin], buf[end - 1]
     word_mean, line_mean = mean(width), mean(line_words, line_of, some_lines)
-    count = np.zeros((n, 256))
-    np.add.at(count, (text_of, buf), 1)
+    count = np.bincount(text_of * 256 + buf, minlength=n * 256).reshape(n, 256).astype(float)
     count[:, 10] = np.maximum(count[:, 10] - 1, 0)  # of the line end that joins texts
     p = count / np.maximum(count.sum(axis=1, keepdims=True), 1)
     longest = np.zeros(n)
