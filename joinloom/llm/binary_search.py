@@ -1,10 +1,12 @@
 """Exact top-k search in Hamming space by incremental multi-index hashing.
 
 A code is cut into m segments of 16 bits; every segment is indexed by its value.
-Codes at distance d share, in some segment, a value within d // m bits.  Round r
-probes all values that differ from a query's segments in exactly r bits, verifies the
-new candidates' distances, and so has found all codes up to distance m * (r + 1) - 1.
-A query is finished when its kth distance is within that; only others go on.
+Codes at distance d share, in some segment, a value within d // m bits.  A step probes
+all values that differ from a query's segments in exactly r bits - in all segments
+while r is small, then segment by segment, as probes multiply - and verifies the new
+candidates' distances.  When a of the segments were searched to r bits and the others
+to r - 1, all codes at distances under m * r + a are found.  A query is finished when
+its kth distance is under that; only others go on.
 
 Equal codes are one entry with the smallest ids that can matter, and equal queries are
 one query, so a vector that very many rows hold is neither a large bucket nor many
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from joinloom.llm.workspace import Workspace
 
 SEGMENT = 16
+#: From this radius on a step searches one segment.
+SINGLE = 4
 
 
 def binary_code(vector: str | Column, bits: int) -> Column:
@@ -65,12 +69,14 @@ def top_k(items: DataFrame, queries: DataFrame, bits: int, k: int) -> DataFrame:
     asked = work.stage(coded(queries).groupBy("vec_id").agg(F.min("code").alias("code")).withColumnRenamed("vec_id", "query_id"), "queries")
     open_ = work.stage(asked.select(F.col("code").alias("q")).distinct(), "open")
     best = None
-    for radius in range(SEGMENT + 1):
+    steps = [(r, first, last) for r in range(SEGMENT + 1) for first, last in ([(0, m)] if r < SINGLE else [(i, i + 1) for i in range(m)])]
+    for radius, first, last in steps:
         masks = F.expr(f"filter(sequence(0, {(1 << SEGMENT) - 1}), x -> bit_count(x) = {radius})")
-        probe = open_.select("q", F.posexplode("q").alias("segment", "own")).select("q", "segment", F.explode(masks).alias("mask"), "own")
+        probe = open_.select("q", F.posexplode("q").alias("segment", "own")).filter(F.col("segment").between(first, last - 1)).select("q", "segment", F.explode(masks).alias("mask"), "own")
         probe = probe.select("q", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        # A code is new where no earlier round, and in this one no earlier segment, found it.
-        near = probe.join(index, ["segment", "value"]).withColumn("bits", F.transform(F.arrays_zip(F.col("q").alias("x"), F.col("code").alias("y")), lambda z: F.bit_count(z["x"].bitwiseXOR(z["y"]))))
+        # A code is new where no smaller radius, and at this one no earlier segment, found it.
+        # The optimiser takes the probes for as few as the queries; they mustn't be broadcast.
+        near = probe.join(index.hint("merge"), ["segment", "value"]).withColumn("bits", F.transform(F.arrays_zip(F.col("q").alias("x"), F.col("code").alias("y")), lambda z: F.bit_count(z["x"].bitwiseXOR(z["y"]))))
         near = near.filter((F.array_min("bits") == radius) & (F.array_position("bits", radius) == F.col("segment") + 1))
         near = near.select("q", "code", _distance("q", "code", m).alias("distance"))
         found = near.join(ids, "code").select("q", "vec_id", "distance")
@@ -81,7 +87,7 @@ def top_k(items: DataFrame, queries: DataFrame, bits: int, k: int) -> DataFrame:
         found = found.withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= most).drop("n")
         found = work.stage(found if best is None else found.unionByName(best.join(open_, "q", "left_anti")), "best")
         kth = found.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
-        done = kth.filter(((F.col("n") >= most) & (F.col("kth") < m * (radius + 1))) | (F.col("n") >= total)).select("q")
+        done = kth.filter(((F.col("n") >= most) & (F.col("kth") < m * radius + last)) | (F.col("n") >= total)).select("q")
         best = found
         open_ = work.stage(open_.join(done, "q", "left_anti"), "open")
         if open_.isEmpty():
