@@ -1,7 +1,10 @@
 """Benchmark decontamination by templates.
 
 A text's tokens are canonicalised twice: plainly (A-Z and the capitals of Latin-1 lower-cased), and as a
-template in which numbers, units after a number, and names are typed placeholders.
+template in which numbers and units after a number are typed placeholders.  Where a
+name stands is decided by the item: each of its capitalised words, also one that opens
+a sentence, is a gap of the window's hash, so a text's word there may be any, in
+either case.  Texts are hashed once for each set of gaps that the items' windows have.
 Windows of tokens are hashed and joined with the windows of the benchmark's items.
 Matching windows of a text and an item on one diagonal are one alignment; in it each
 placeholder's value in the item must stand for one value in the text and the other
@@ -51,19 +54,28 @@ _DIGIT[48:58] = True
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;\n\r\"|"]] = True
-_NUMBER, _UNIT, _NAME = (U(k) for k in (1, 2, 3))
+_NUMBER, _UNIT = arrays.mix(np.array([1, 2], U))
+#: Odd factors of a window's tokens, one for each place in it.
+_PLACES = arrays.mix(np.arange(3, 67, dtype=U)) | U(1)
 
 
 @dataclass
 class Tokens:
     """plain: hash of each token as it stands; template: the same, or its
-    placeholder's type; slot: which are placeholders; first: each text's first."""
+    placeholder's type; number and unit: which are placeholders; capital: which begin
+    with a capital; name: those that don't open a sentence; first: each text's first."""
 
     plain: np.ndarray
     template: np.ndarray
-    slot: np.ndarray
+    number: np.ndarray
+    unit: np.ndarray
+    capital: np.ndarray
+    name: np.ndarray
     first: np.ndarray
 
+    def part(self, a: int, b: int) -> Tokens:
+        return Tokens(*(getattr(self, f)[a:b] for f in ("plain", "template", "number", "unit", "capital", "name")), np.array([0, b - a]))
+
 
 def tokens(batch: list[str]) -> Tokens:
     buf, starts = arrays.joined(batch)
@@ -88,9 +100,9 @@ def tokens(batch: list[str]) -> Tokens:
     capital = ((buf[begin] >= 65) & (buf[begin] <= 90)) | upper[after]
     follows = np.concatenate([[False], number[:-1]]) & ~opens if len(number) else number
     unit = ~number & follows & np.isin(plain, _unit_hashes())
-    name = ~number & ~unit & capital & ~opens
-    template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, plain)))
-    return Tokens(plain, template, number | unit | name, first)
+    capital = capital & ~number & ~unit
+    template = np.where(number, _NUMBER, np.where(unit, _UNIT, plain))
+    return Tokens(plain, template, number, unit, capital, capital & ~opens, first)
 
 
 _units: list[np.ndarray] = []
@@ -102,62 +114,96 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def windows(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of plain and of template windows of n tokens at each token (over the
-    ends of texts too; the caller leaves those out); 0 for a template with too few
-    words of its own."""
-    plain, template = arrays.ngrams(t.plain, n), arrays.ngrams(t.template, n)
-    slots = np.concatenate([[0], np.cumsum(t.slot)])
-    words = n - (slots[n:] - slots[:-n]) if len(t.slot) >= n else np.empty(0, int)
-    return plain, np.where(words * 2 >= n, template, U(0))
+def terms(values: np.ndarray, n: int) -> list[np.ndarray]:
+    """What the tokens at each place of all windows of n tokens add to their hashes
+    (over the ends of texts too; the caller leaves those out)."""
+    return [values[k : len(values) - n + 1 + k] * _PLACES[k] for k in range(n)]
+
+
+def counts(flags: np.ndarray, n: int) -> np.ndarray:
+    """How many of each window's tokens are flagged."""
+    sums = np.concatenate([[0], np.cumsum(flags)])
+    return sums[n:] - sums[:-n]
+
+
+class Table:
+    """Windows by hash; most hashes that aren't there are told by their upper bits."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        self.keys, self.item, self.at = h[order], item[order], at[order]
+        self.shift = U(64 - min(24, max(10, len(h).bit_length() + 4)))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[h >> self.shift] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which hashes meet which windows: their number, the item, its token."""
+        pos = np.flatnonzero(self.seen[hashes >> self.shift])
+        low, high = (np.searchsorted(self.keys, hashes[pos], side) for side in ("left", "right"))
+        count = high - low
+        row = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(pos, count), self.item[row], self.at[row]
 
 
 class Index:
-    """The windows of a block of items, by window length and hash."""
+    """The windows of a block of items, by their length and gaps."""
+
+    #: The gaps' key of plain windows.
+    PLAIN = -1
 
     def __init__(self, items: list[tuple[int, str]], s: Settings):
-        self.s, self.ids, self.items, self.tables = s, [], [], {}
+        self.s, self.ids, self.items = s, [], []
         t = tokens([x for _, x in items])
-        found: dict[int, list] = defaultdict(list)
+        self.found: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         seen: dict[bytes, int] = {}
         for k, (item, _) in enumerate(items):
-            a, b = t.first[k], t.first[k + 1]
-            own = Tokens(t.plain[a:b], t.template[a:b], t.slot[a:b], np.array([0, b - a]))
-            key = own.plain.tobytes() + own.slot.tobytes()
-            if b - a < s.least:
+            own = t.part(t.first[k], t.first[k + 1])
+            key = own.plain.tobytes() + own.unit.tobytes() + own.capital.tobytes() + own.name.tobytes()
+            if len(own.plain) < s.least:
                 continue
             if key in seen:
                 self.ids[seen[key]].append(item)
                 continue
             seen[key] = len(self.ids)
-            n = int(min(s.window, b - a))
-            for hashes in windows(own, n):
-                at = np.flatnonzero(hashes != 0)
-                found[n].append((hashes[at], np.full(len(at), len(self.ids)), at))
+            self._add(own, int(min(s.window, len(own.plain))), len(self.ids))
             self.ids.append([item])
             self.items.append(own)
-        for n, parts in found.items():
-            h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            self.tables[n] = (h[order], item[order], at[order])
+        self.tables = {n: {gaps: Table(parts) for gaps, parts in by.items()} for n, by in self.found.items()}
+        del self.found
+
+    def _add(self, own: Tokens, n: int, item: int) -> None:
+        """Plain windows; templates with gaps at all capitalised words, or if these are
+        too many at the names within sentences."""
+        every = np.arange(len(own.plain) - n + 1)
+        self.found[n][self.PLAIN].append((sum(terms(own.plain, n)), np.full(len(every), item), every))
+        parts, left = terms(own.template, n), np.ones(len(every), bool)
+        for gap in (own.capital, own.name):
+            enough = left & (2 * counts(own.number | own.unit | gap, n) <= n)
+            left &= ~enough
+            masks = sum(gap[k : len(gap) - n + 1 + k].astype(int) << k for k in range(n))
+            for mask in np.unique(masks[enough]).tolist():
+                at = np.flatnonzero(enough & (masks == mask))
+                self.found[n][mask].append((gapped(parts, mask)[at], np.full(len(at), item), at))
 
     def search(self, texts: list[str]) -> list[dict[int, float]]:
         """For each text the items found in it and their covered share."""
         t, out = tokens(texts), [{} for _ in texts]
-        for n, (keys, item, at) in self.tables.items():
-            hits = []
-            for hashes in windows(t, n):
-                low = np.searchsorted(keys, hashes)
-                near = np.minimum(low, len(keys) - 1)
-                pos = np.flatnonzero((keys[near] == hashes) & (hashes != 0))
-                pos = pos[pos + n <= t.first[np.searchsorted(t.first, pos, "right")]]
-                count = np.searchsorted(keys, hashes[pos], "right") - low[pos]
-                row = np.repeat(low[pos], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                hits.append(np.stack([np.repeat(pos, count), item[row], at[row]]))
+        owner = np.repeat(np.arange(len(texts)), np.diff(t.first))
+        for n, tables in self.tables.items():
+            if len(owner) < n:
+                continue
+            inside, hits = owner[: len(owner) - n + 1] == owner[n - 1 :], []
+            plain, parts = sum(terms(t.plain, n)), terms(t.template, n)
+            whole = sum(parts)
+            for gaps, table in tables.items():
+                pos, item, at = table.find(plain if gaps == self.PLAIN else gapped(parts, gaps, whole))
+                kept = inside[pos]
+                hits.append(np.stack([pos, item, at, np.full(len(pos), max(gaps, 0))])[:, kept])
             hits = np.unique(np.concatenate(hits, axis=1), axis=1)
             if not hits.shape[1]:
                 continue
-            text = np.searchsorted(t.first, hits[0], "right") - 1
+            text = owner[hits[0]]
             order = np.lexsort((hits[0], hits[0] - hits[2], hits[1], text))
             key = np.stack([text, hits[1], hits[0] - hits[2]])[:, order]
             new = np.concatenate([[True], (np.diff(key, axis=1) != 0).any(axis=0)])
@@ -167,7 +213,7 @@ class Index:
                 d, m = int(key[0, i]), int(key[1, i])
                 own = self.items[m]
                 verbatim, aligned = covers.setdefault((d, m), (np.zeros(len(own.plain), bool), []))
-                aligned.append(self._align(t, own, hits[0][order[i:j]], hits[2][order[i:j]], n, verbatim))
+                aligned.append(self._align(t, own, hits[0][order[i:j]], hits[2][order[i:j]], hits[3][order[i:j]], n, verbatim))
             for (d, m), (verbatim, aligned) in covers.items():
                 share = max(float((verbatim | x).mean()) for x in aligned)
                 if share >= self.s.covered:
@@ -176,14 +222,17 @@ class Index:
         return out
 
     @staticmethod
-    def _align(t: Tokens, own: Tokens, pos: np.ndarray, at: np.ndarray, n: int, verbatim: np.ndarray) -> np.ndarray:
+    def _align(t: Tokens, own: Tokens, pos: np.ndarray, at: np.ndarray, gaps: np.ndarray, n: int, verbatim: np.ndarray) -> np.ndarray:
         """The item's tokens that this alignment's windows cover with slots that are
         consistent in it; those covered word for word are marked in ``verbatim`` too."""
         mark = np.zeros(len(own.plain), bool)
         there: dict[int, int] = {}
         back: dict[int, int] = {}
-        for p, a in zip(pos.tolist(), at.tolist(), strict=True):
-            slots = np.flatnonzero(own.slot[a : a + n] | t.slot[p : p + n])
+        for p, a, g in zip(pos.tolist(), at.tolist(), gaps.tolist(), strict=True):
+            gap = (g >> np.arange(n) & 1).astype(bool)
+            if (t.number[p : p + n] & gap).any():
+                continue
+            slots = np.flatnonzero(gap | own.number[a : a + n] | own.unit[a : a + n])
             pairs = {(int(own.plain[a + k]), int(t.plain[p + k])) for k in slots}
             if all(x == y for x, y in pairs):
                 verbatim[a : a + n] = True
@@ -194,6 +243,15 @@ class Index:
         return mark
 
 
+def gapped(parts: list[np.ndarray], mask: int, whole: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of windows without the places of the mask's bits."""
+    out = sum(parts) if whole is None else whole.copy()
+    for k, x in enumerate(parts):
+        if mask >> k & 1:
+            out -= x
+    return out
+
+
 def _blocks(benchmark: DataFrame, s: Settings):
     """Lists of items of bounded size, so that the driver never holds all."""
     block, held = [], 0

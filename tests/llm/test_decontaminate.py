@@ -79,3 +79,11 @@ def test_edges(spark):
     assert search(spark, [(1, ITEM), (None, ITEM)], []) == {1: [], None: []}
     assert search(spark, [(1, ITEM), (1, ITEM), (None, "z")], [(4, ITEM), (3, ITEM)]) == {1: [3, 4], None: []}
     assert search(spark, [(1, "pad " * 40000 + ITEM)], [(4, ITEM)]) == {1: [4]}
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 5 apples. Tom buys 3 more apples. Tom gives 2 to Ann."
+    copy = "Sam has 8 apples. Sam buys 4 more apples. Sam gives 1 to Eve."
+    docs = [(1, copy), (2, f"so it was: {copy.lower()} and so on"), (3, copy.upper()), (4, "Sam has 8 pears. Max buys 4 more pears. Liz gives 1 to Eve.")]
+    got = search(spark, docs, [(1, item)])
+    assert got == {1: [1], 2: [1], 3: [1], 4: []}
