@@ -6,10 +6,14 @@ name stands is decided by the item: each of its capitalised words, also one that
 a sentence, is a gap of the window's hash, so a text's word there may be any, in
 either case.  Texts are hashed once for each set of gaps that the items' windows have.
 Windows of tokens are hashed and joined with the windows of the benchmark's items.
-Matching windows of a text and an item on one diagonal are one alignment; in it each
+Where neighbouring capitalised words are one name, or a unit follows its number, there
+are also windows in which they are one token, so a name or quantity may change its
+number of words.
+Matching windows of a text and an item on one diagonal are an alignment; alignments in
+order and no further apart than the item is long are a chain.  In a chain each
 placeholder's value in the item must stand for one value in the text and the other
-way round.  An item is in the text if the consistent windows of an alignment, and
-verbatim windows anywhere, cover the asked share of its tokens.
+way round.  An item is in the text if the windows of a chain, and verbatim windows
+anywhere, cover the asked share of its tokens.
 
 The benchmark's windows are broadcast in blocks of bounded size, one pass over the
 texts for each block; an ordinary benchmark is one block.
@@ -59,11 +63,15 @@ _NUMBER, _UNIT = arrays.mix(np.array([1, 2], U))
 _PLACES = arrays.mix(np.arange(3, 67, dtype=U)) | U(1)
 
 
+_FIELDS = ("plain", "template", "number", "unit", "capital", "name", "joins")
+
+
 @dataclass
 class Tokens:
     """plain: hash of each token as it stands; template: the same, or its
     placeholder's type; number and unit: which are placeholders; capital: which begin
-    with a capital; name: those that don't open a sentence; first: each text's first."""
+    with a capital; name: those that don't open a sentence; joins: which are one name
+    or quantity with the token before; first: each text's first."""
 
     plain: np.ndarray
     template: np.ndarray
@@ -71,10 +79,64 @@ class Tokens:
     unit: np.ndarray
     capital: np.ndarray
     name: np.ndarray
+    joins: np.ndarray
     first: np.ndarray
 
     def part(self, a: int, b: int) -> Tokens:
-        return Tokens(*(getattr(self, f)[a:b] for f in ("plain", "template", "number", "unit", "capital", "name")), np.array([0, b - a]))
+        return Tokens(*(getattr(self, f)[a:b] for f in _FIELDS), np.array([0, b - a]))
+
+
+@dataclass
+class Stream:
+    """The tokens of texts, then those near joined ones once more, with these as one.
+
+    begin and end: what each covers in ``Tokens``; run: equal for tokens that follow
+    each other in one text; joined: which are several; measure: a quantity's unit, or
+    0; plain_end: how many are not of the second kind."""
+
+    plain: np.ndarray
+    template: np.ndarray
+    number: np.ndarray
+    unit: np.ndarray
+    capital: np.ndarray
+    name: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    run: np.ndarray
+    joined: np.ndarray
+    measure: np.ndarray
+    plain_end: int
+
+    def whole(self, n: int) -> np.ndarray:
+        """Which windows of n tokens lie in one text and are not there already."""
+        inside = self.run[: len(self.run) - n + 1] == self.run[n - 1 :]
+        inside[self.plain_end :] &= counts(self.joined, n)[self.plain_end :] > 0
+        return inside
+
+
+def stream(t: Tokens, window: int) -> Stream:
+    size = len(t.plain)
+    owner = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
+    begin = np.flatnonzero(~t.joins)
+    end = np.append(begin[1:], size)
+    joined = end - begin > 1
+    sums = np.concatenate([[0], np.cumsum(joined)])
+    at = np.arange(len(begin))
+    near = np.flatnonzero(sums[np.minimum(at + window, len(begin))] > sums[np.maximum(at - window + 1, 0)])
+    begin, end, joined = begin[near], end[near], joined[near]
+    quantity = joined & t.number[begin]
+    plain = t.plain[begin].copy()
+    for k in np.flatnonzero(joined & ~quantity).tolist():
+        plain[k] = arrays.whole(t.plain[begin[k] : end[k]])[0]
+    measure = np.zeros(len(begin), U)
+    measure[quantity] = t.plain[begin[quantity] + 1]
+    after = np.diff(near, prepend=-1) != 1
+    run = np.cumsum(after | (np.diff(owner[begin], prepend=-1) != 0)) + len(t.first)
+    template = np.where(t.number[begin], _NUMBER, plain)
+    none = np.zeros(size, bool)
+    own = (plain, template, t.number[begin], t.unit[begin], t.capital[begin], t.name[begin] | (joined & ~quantity), begin, end, run, joined, measure)
+    raw = (t.plain, t.template, t.number, t.unit, t.capital, t.name, np.arange(size), np.arange(1, size + 1), owner, none, np.zeros(size, U))
+    return Stream(*(np.concatenate(x) for x in zip(raw, own, strict=True)), size)
 
 
 def tokens(batch: list[str]) -> Tokens:
@@ -102,7 +164,10 @@ def tokens(batch: list[str]) -> Tokens:
     unit = ~number & follows & np.isin(plain, _unit_hashes())
     capital = capital & ~number & ~unit
     template = np.where(number, _NUMBER, np.where(unit, _UNIT, plain))
-    return Tokens(plain, template, number, unit, capital, capital & ~opens, first)
+    spaced = np.zeros(len(begin), bool)
+    spaced[1:] = (begin[1:] == end[:-1] + 1) & (buf[end[:-1]] == 32)
+    joins = unit | (spaced & capital & np.concatenate([[False], capital[:-1]])[: len(begin)] & ~opens)
+    return Tokens(plain, template, number, unit, capital, capital & ~opens, joins, first)
 
 
 _units: list[np.ndarray] = []
@@ -166,21 +231,35 @@ class Index:
                 self.ids[seen[key]].append(item)
                 continue
             seen[key] = len(self.ids)
-            self._add(own, int(min(s.window, len(own.plain))), len(self.ids))
+            self._add(stream(own, s.window), len(self.ids))
             self.ids.append([item])
-            self.items.append(own)
         self.tables = {n: {gaps: Table(parts) for gaps, parts in by.items()} for n, by in self.found.items()}
         del self.found
 
-    def _add(self, own: Tokens, n: int, item: int) -> None:
+    def _add(self, own: Stream, item: int) -> None:
         """Plain windows; templates with gaps at all capitalised words, or if these are
         too many at the names within sentences."""
-        every = np.arange(len(own.plain) - n + 1)
-        self.found[n][self.PLAIN].append((sum(terms(own.plain, n)), np.full(len(every), item), every))
-        parts, left = terms(own.template, n), np.ones(len(every), bool)
+        self.items.append(own)
+        size = own.plain_end
+        short = size - int((own.end - own.begin - 1)[size:].sum())  # its tokens with joined ones as one
+        self._add_windows(own, int(min(self.s.window, size)), item, slice(0, size if short < self.s.window else None))
+        if self.s.least <= short < min(self.s.window, size):
+            self._add_windows(own, short, item, slice(size, None))
+
+    def _add_windows(self, own: Stream, n: int, item: int, part: slice) -> None:
+        if len(own.plain) < n:
+            return
+        whole = own.whole(n)
+        chosen = np.zeros(len(whole), bool)
+        chosen[part] = True
+        chosen &= whole
+        at = np.flatnonzero(chosen[: own.plain_end])
+        if len(at):
+            self.found[n][self.PLAIN].append((sum(terms(own.plain, n))[at], np.full(len(at), item), at))
+        parts, left = terms(own.template, n), chosen
         for gap in (own.capital, own.name):
             enough = left & (2 * counts(own.number | own.unit | gap, n) <= n)
-            left &= ~enough
+            left = left & ~enough
             masks = sum(gap[k : len(gap) - n + 1 + k].astype(int) << k for k in range(n))
             for mask in np.unique(masks[enough]).tolist():
                 at = np.flatnonzero(enough & (masks == mask))
@@ -188,59 +267,114 @@ class Index:
 
     def search(self, texts: list[str]) -> list[dict[int, float]]:
         """For each text the items found in it and their covered share."""
-        t, out = tokens(texts), [{} for _ in texts]
-        owner = np.repeat(np.arange(len(texts)), np.diff(t.first))
+        raw, out = tokens(texts), [{} for _ in texts]
+        t, hits = stream(raw, self.s.window), []
         for n, tables in self.tables.items():
-            if len(owner) < n:
+            if len(t.plain) < n:
                 continue
-            inside, hits = owner[: len(owner) - n + 1] == owner[n - 1 :], []
+            inside = t.whole(n)
             plain, parts = sum(terms(t.plain, n)), terms(t.template, n)
             whole = sum(parts)
             for gaps, table in tables.items():
                 pos, item, at = table.find(plain if gaps == self.PLAIN else gapped(parts, gaps, whole))
                 kept = inside[pos]
-                hits.append(np.stack([pos, item, at, np.full(len(pos), max(gaps, 0))])[:, kept])
-            hits = np.unique(np.concatenate(hits, axis=1), axis=1)
-            if not hits.shape[1]:
-                continue
-            text = owner[hits[0]]
-            order = np.lexsort((hits[0], hits[0] - hits[2], hits[1], text))
-            key = np.stack([text, hits[1], hits[0] - hits[2]])[:, order]
-            new = np.concatenate([[True], (np.diff(key, axis=1) != 0).any(axis=0)])
-            edge = np.append(np.flatnonzero(new), key.shape[1])
-            covers: dict[tuple[int, int], tuple[np.ndarray, list[np.ndarray]]] = {}
-            for i, j in zip(edge, edge[1:], strict=False):
-                d, m = int(key[0, i]), int(key[1, i])
-                own = self.items[m]
-                verbatim, aligned = covers.setdefault((d, m), (np.zeros(len(own.plain), bool), []))
-                aligned.append(self._align(t, own, hits[0][order[i:j]], hits[2][order[i:j]], hits[3][order[i:j]], n, verbatim))
-            for (d, m), (verbatim, aligned) in covers.items():
-                share = max(float((verbatim | x).mean()) for x in aligned)
-                if share >= self.s.covered:
-                    for one in self.ids[m]:
-                        out[d][one] = max(out[d].get(one, 0.0), share)
+                hits.append(np.stack([pos, item, at, np.full(len(pos), gaps), np.full(len(pos), n)])[:, kept])
+        if not hits or not (hits := np.concatenate(hits, axis=1)).shape[1]:
+            return out
+        text = np.searchsorted(raw.first, t.begin[hits[0]], "right") - 1
+        order = np.lexsort((t.begin[hits[0]], hits[1], text))
+        hits, text = hits[:, order], text[order]
+        edge = np.flatnonzero((np.diff(text, prepend=-1, append=-1) != 0) | (np.diff(hits[1], prepend=-1, append=-1) != 0))
+        for i, j in zip(edge, edge[1:], strict=False):
+            m = int(hits[1, i])
+            share = self._share(t, self.items[m], hits[:, i:j])
+            if share >= self.s.covered:
+                for one in self.ids[m]:
+                    out[text[i]][one] = max(out[text[i]].get(one, 0.0), share)
         return out
 
-    @staticmethod
-    def _align(t: Tokens, own: Tokens, pos: np.ndarray, at: np.ndarray, gaps: np.ndarray, n: int, verbatim: np.ndarray) -> np.ndarray:
-        """The item's tokens that this alignment's windows cover with slots that are
-        consistent in it; those covered word for word are marked in ``verbatim`` too."""
-        mark = np.zeros(len(own.plain), bool)
-        there: dict[int, int] = {}
-        back: dict[int, int] = {}
-        for p, a, g in zip(pos.tolist(), at.tolist(), gaps.tolist(), strict=True):
-            gap = (g >> np.arange(n) & 1).astype(bool)
+    def _share(self, t: Stream, own: Stream, hits: np.ndarray) -> float:
+        """The share of an item that its windows in a text cover."""
+        verbatim, every = np.zeros(own.plain_end, bool), np.zeros(own.plain_end, bool)
+        for _, _, a, gaps, n in hits.T.tolist():
+            span = slice(own.begin[a], own.end[a + n - 1])
+            every[span] = True
+            if gaps == self.PLAIN:
+                verbatim[span] = True
+        if every.mean() < self.s.covered or verbatim.all():
+            return float(verbatim.mean())
+        best, chains = verbatim, []
+        for x in self._aligned(t, own, hits[:, hits[3] != self.PLAIN]):
+            chain = x
+            for before in chains:
+                joined = before.extended(x, own.plain_end)
+                if joined and joined.mark.sum() > chain.mark.sum():
+                    chain = joined
+            chains.append(chain)
+            if (verbatim | chain.mark).sum() > best.sum():
+                best = verbatim | chain.mark
+        return float(best.mean())
+
+    def _aligned(self, t: Stream, own: Stream, hits: np.ndarray) -> list[Chain]:
+        """The windows of each diagonal, dealt so that slots are consistent, in order."""
+        out: dict[int, list[Chain]] = defaultdict(list)
+        for p, _, a, gaps, n in hits.T.tolist():
+            gap = (gaps >> np.arange(n) & 1).astype(bool)
             if (t.number[p : p + n] & gap).any():
                 continue
             slots = np.flatnonzero(gap | own.number[a : a + n] | own.unit[a : a + n])
             pairs = {(int(own.plain[a + k]), int(t.plain[p + k])) for k in slots}
-            if all(x == y for x, y in pairs):
-                verbatim[a : a + n] = True
-            if all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs) and len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
-                there.update(pairs)
-                back.update((y, x) for x, y in pairs)
-                mark[a : a + n] = True
-        return mark
+            pairs |= {(int(x), int(y)) for x, y in zip(own.measure[a : a + n], t.measure[p : p + n], strict=True) if x and y}
+            if not consistent({}, {}, pairs):
+                continue
+            at, to, start, stop = int(t.begin[p]), int(t.end[p + n - 1]), int(own.begin[a]), int(own.end[a + n - 1])
+            same = out[at - start]
+            one = next((x for x in same if consistent(x.there, x.back, pairs)), None)
+            if one is None:
+                same.append(one := Chain(at, to, start, stop, at - start, np.zeros(own.plain_end, bool), {}, {}))
+            one.add(pairs)
+            one.mark[start:stop] = True
+            one.to, one.stop = max(one.to, to), max(one.stop, stop)
+        return sorted((x for same in out.values() for x in same), key=lambda x: (x.at, x.start))
+
+
+#: Tokens by which a name or quantity may grow or shrink where alignments overlap.
+SHIFT = 4
+
+
+@dataclass
+class Chain:
+    """Alignments: where the last begins and all end in the text (at, to) and in the
+    item (start, stop), its diagonal, the item's tokens they cover, the slots' values."""
+
+    at: int
+    to: int
+    start: int
+    stop: int
+    diagonal: int
+    mark: np.ndarray
+    there: dict[int, int]
+    back: dict[int, int]
+
+    def add(self, pairs) -> None:
+        self.there.update(pairs)
+        self.back.update((y, x) for x, y in pairs)
+
+    def extended(self, x: Chain, reach: int) -> Chain | None:
+        """This chain with one more alignment, if that is in order, near and consistent.
+        Text is not used twice: alignments overlap only by what a slot's length shifts."""
+        if x.at <= self.at or x.start <= self.start or x.at - self.to > reach:
+            return None
+        if (x.at < self.to or x.start < self.stop) and abs(x.diagonal - self.diagonal) > SHIFT and x.diagonal != self.diagonal:
+            return None
+        if not consistent(self.there, self.back, x.there.items()):
+            return None
+        return Chain(x.at, max(self.to, x.to), x.start, max(self.stop, x.stop), x.diagonal, self.mark | x.mark, self.there | x.there, self.back | x.back)
+
+
+def consistent(there: dict[int, int], back: dict[int, int], pairs) -> bool:
+    """Whether each value still stands for one value, both ways, with these pairs."""
+    return all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs) and len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
 
 
 def gapped(parts: list[np.ndarray], mask: int, whole: np.ndarray | None = None) -> np.ndarray:

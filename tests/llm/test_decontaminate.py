@@ -87,3 +87,16 @@ def test_names_that_open_sentences(spark):
     docs = [(1, copy), (2, f"so it was: {copy.lower()} and so on"), (3, copy.upper()), (4, "Sam has 8 pears. Max buys 4 more pears. Liz gives 1 to Eve.")]
     got = search(spark, docs, [(1, item)])
     assert got == {1: [1], 2: [1], 3: [1], 4: []}
+
+
+def test_lengths_that_shift(spark):
+    item = "On Monday Tom packs 12 kg of ripe apples, walks to the old market and sells 7 of the bags there; then Tom buys 30 m of rope and carries it back home."
+    docs = [
+        (1, item.replace("Tom", "Mary Ann").replace("12 kg", "15").replace("30 m", "44").replace("7", "9").replace("the old", "the very old").replace("it back", "it straight back")),
+        (2, item.replace("12", "15").replace("30", "44").replace("7", "9").replace("walks", "slowly walks").replace("old", "old big").replace("sells", "now sells").replace("the bags", "the many bags").replace("carries", "also carries")),
+        (3, "Tom has 8 apples. Tom buys 4 more apples. Tom gives 1 to Sue Lee."),
+        (4, "take 2 then add 4 then take 3 then add 5 then take 6 then add 8 then take 1 then add 9 then stop here"),
+    ]
+    names = "Mary Ann has 5 apples. Mary Ann buys 3 more apples. Mary Ann gives 2 to Ann."
+    periods = "take 5 then add 7 then take 5 then add 7 then take 5 then add 7 then take 5 then add 7 then stop here"
+    assert search(spark, docs, [(1, item), (2, names), (3, periods)]) == {1: [1], 2: [1], 3: [2], 4: []}
