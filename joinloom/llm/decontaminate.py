@@ -9,6 +9,9 @@ Windows of tokens are hashed and joined with the windows of the benchmark's item
 Where neighbouring capitalised words are one name, or a unit follows its number, there
 are also windows in which they are one token, so a name or quantity may change its
 number of words.
+Windows of mostly placeholders are hashed with the marks between their tokens.  Those
+that hold no word and no mark but , . ; count only in a chain with one that does, so
+of an item of bare numbers only verbatim copies can be told from any other numbers.
 Matching windows of a text and an item on one diagonal are an alignment; alignments in
 order and no further apart than the item is long are a chain.  In a chain each
 placeholder's value in the item must stand for one value in the text and the other
@@ -42,8 +45,8 @@ UNITS = (
 
 @dataclass(frozen=True)
 class Settings:
-    """``window`` tokens are hashed together, half of them at least not placeholders
-    in a template; an item is found if ``covered`` of its tokens are.  Shorter items
+    """``window`` tokens are hashed together, with the marks between them if more
+    than half are placeholders; an item is found if ``covered`` of its tokens are.  Shorter items
     are one window; those under ``least`` tokens are not looked for.  ``block``:
     characters of items that are broadcast at a time, besides one long item."""
 
@@ -58,12 +61,13 @@ _DIGIT[48:58] = True
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;\n\r\"|"]] = True
+_WEAK = np.frombuffer(b",.;", np.uint8)
 _NUMBER, _UNIT = arrays.mix(np.array([1, 2], U))
 #: Odd factors of a window's tokens, one for each place in it.
 _PLACES = arrays.mix(np.arange(3, 67, dtype=U)) | U(1)
 
 
-_FIELDS = ("plain", "template", "number", "unit", "capital", "name", "joins")
+_FIELDS = ("plain", "template", "number", "unit", "capital", "name", "joins", "marks", "telling")
 
 
 @dataclass
@@ -71,7 +75,8 @@ class Tokens:
     """plain: hash of each token as it stands; template: the same, or its
     placeholder's type; number and unit: which are placeholders; capital: which begin
     with a capital; name: those that don't open a sentence; joins: which are one name
-    or quantity with the token before; first: each text's first."""
+    or quantity with the token before; marks: hash of the marks before, 0 if none, and
+    telling: whether others than , . ; are among them; first: each text's first."""
 
     plain: np.ndarray
     template: np.ndarray
@@ -80,6 +85,8 @@ class Tokens:
     capital: np.ndarray
     name: np.ndarray
     joins: np.ndarray
+    marks: np.ndarray
+    telling: np.ndarray
     first: np.ndarray
 
     def part(self, a: int, b: int) -> Tokens:
@@ -100,6 +107,8 @@ class Stream:
     unit: np.ndarray
     capital: np.ndarray
     name: np.ndarray
+    marks: np.ndarray
+    telling: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     run: np.ndarray
@@ -134,8 +143,8 @@ def stream(t: Tokens, window: int) -> Stream:
     run = np.cumsum(after | (np.diff(owner[begin], prepend=-1) != 0)) + len(t.first)
     template = np.where(t.number[begin], _NUMBER, plain)
     none = np.zeros(size, bool)
-    own = (plain, template, t.number[begin], t.unit[begin], t.capital[begin], t.name[begin] | (joined & ~quantity), begin, end, run, joined, measure)
-    raw = (t.plain, t.template, t.number, t.unit, t.capital, t.name, np.arange(size), np.arange(1, size + 1), owner, none, np.zeros(size, U))
+    own = (plain, template, t.number[begin], t.unit[begin], t.capital[begin], t.name[begin] | (joined & ~quantity), t.marks[begin], t.telling[begin], begin, end, run, joined, measure)
+    raw = (t.plain, t.template, t.number, t.unit, t.capital, t.name, t.marks, t.telling, np.arange(size), np.arange(1, size + 1), owner, none, np.zeros(size, U))
     return Stream(*(np.concatenate(x) for x in zip(raw, own, strict=True)), size)
 
 
@@ -167,7 +176,14 @@ def tokens(batch: list[str]) -> Tokens:
     spaced = np.zeros(len(begin), bool)
     spaced[1:] = (begin[1:] == end[:-1] + 1) & (buf[end[:-1]] == 32)
     joins = unit | (spaced & capital & np.concatenate([[False], capital[:-1]])[: len(begin)] & ~opens)
-    return Tokens(plain, template, number, unit, capital, capital & ~opens, joins, first)
+    # What stands between tokens: all that is neither theirs nor white space.
+    is_mark = (kinds == 0) & ~arrays._SPACE[buf]
+    till = np.concatenate([[0], np.cumsum(is_mark)])
+    found = buf[is_mark]
+    marks = np.where(till[begin] > till[before], arrays.span_hashes(found, till[before], till[begin]), U(0))
+    told = np.concatenate([[0], np.cumsum(is_mark & ~np.isin(buf, _WEAK))])
+    telling = told[begin] > told[before]
+    return Tokens(plain, template, number, unit, capital, capital & ~opens, joins, marks, telling, first)
 
 
 _units: list[np.ndarray] = []
@@ -188,7 +204,7 @@ def terms(values: np.ndarray, n: int) -> list[np.ndarray]:
 def counts(flags: np.ndarray, n: int) -> np.ndarray:
     """How many of each window's tokens are flagged."""
     sums = np.concatenate([[0], np.cumsum(flags)])
-    return sums[n:] - sums[:-n]
+    return sums[n:] - sums[: len(sums) - n]
 
 
 class Table:
@@ -212,10 +228,12 @@ class Table:
 
 
 class Index:
-    """The windows of a block of items, by their length and gaps."""
+    """The windows of a block of items, by their length and gaps (a bit for each)."""
 
     #: The gaps' key of plain windows.
     PLAIN = -1
+    #: Added to the gaps' key: marks are hashed too; nothing in the window is telling.
+    DENSE, WEAK = 1 << 61, 1 << 60
 
     def __init__(self, items: list[tuple[int, str]], s: Settings):
         self.s, self.ids, self.items = s, [], []
@@ -238,7 +256,8 @@ class Index:
 
     def _add(self, own: Stream, item: int) -> None:
         """Plain windows; templates with gaps at all capitalised words, or if these are
-        too many at the names within sentences."""
+        too many at the names within sentences, or else with none; and, if there are
+        too many, with marks and gaps, unless gaps outnumber all that is not a gap."""
         self.items.append(own)
         size = own.plain_end
         short = size - int((own.end - own.begin - 1)[size:].sum())  # its tokens with joined ones as one
@@ -256,14 +275,25 @@ class Index:
         at = np.flatnonzero(chosen[: own.plain_end])
         if len(at):
             self.found[n][self.PLAIN].append((sum(terms(own.plain, n))[at], np.full(len(at), item), at))
-        parts, left = terms(own.template, n), chosen
-        for gap in (own.capital, own.name):
+        parts, left, dense = terms(own.template, n), chosen, chosen
+        for gap in (own.capital, own.name, np.zeros(len(own.name), bool)):
             enough = left & (2 * counts(own.number | own.unit | gap, n) <= n)
             left = left & ~enough
+            dense = dense & ~(enough & (counts(gap, n) > 0))
             masks = sum(gap[k : len(gap) - n + 1 + k].astype(int) << k for k in range(n))
             for mask in np.unique(masks[enough]).tolist():
                 at = np.flatnonzero(enough & (masks == mask))
                 self.found[n][mask].append((gapped(parts, mask)[at], np.full(len(at), item), at))
+        between = marked(own, n)
+        inner = lambda flags: counts(flags[1:], n - 1)[: len(between)]
+        for gap in (own.capital, own.name):
+            slots = counts(own.number | own.unit | gap, n)
+            left = dense & (2 * slots > n) & (2 * (n - counts(gap, n) + inner(own.marks != 0)) >= n)
+            weak = (slots == n) & (inner(own.telling) == 0)
+            masks = sum(gap[k : len(gap) - n + 1 + k].astype(int) << k for k in range(n)) + self.DENSE + weak * self.WEAK
+            for mask in np.unique(masks[left]).tolist():
+                at = np.flatnonzero(left & (masks == mask))
+                self.found[n][mask].append((gapped(parts, mask)[at] + between[at], np.full(len(at), item), at))
 
     def search(self, texts: list[str]) -> list[dict[int, float]]:
         """For each text the items found in it and their covered share."""
@@ -275,8 +305,9 @@ class Index:
             inside = t.whole(n)
             plain, parts = sum(terms(t.plain, n)), terms(t.template, n)
             whole = sum(parts)
+            dense = whole + marked(t, n) if any(gaps >= self.DENSE for gaps in tables) else whole
             for gaps, table in tables.items():
-                pos, item, at = table.find(plain if gaps == self.PLAIN else gapped(parts, gaps, whole))
+                pos, item, at = table.find(plain if gaps == self.PLAIN else gapped(parts, gaps, dense if gaps >= self.DENSE else whole))
                 kept = inside[pos]
                 hits.append(np.stack([pos, item, at, np.full(len(pos), gaps), np.full(len(pos), n)])[:, kept])
         if not hits or not (hits := np.concatenate(hits, axis=1)).shape[1]:
@@ -295,6 +326,13 @@ class Index:
 
     def _share(self, t: Stream, own: Stream, hits: np.ndarray) -> float:
         """The share of an item that its windows in a text cover."""
+        weak = (hits[3] >= 0) & (hits[3] & self.WEAK > 0)
+        if weak.any():  # without a telling window near by they can't be in a chain that counts
+            at = t.begin[hits[0]]
+            others = np.append(at[~weak], -(1 << 60))
+            right = np.minimum(np.searchsorted(others[:-1], at), max(len(others) - 2, 0))
+            near = np.minimum(abs(at - others[right]), abs(at - others[right - 1])) <= 2 * own.plain_end
+            hits = hits[:, ~weak | near]
         verbatim, every = np.zeros(own.plain_end, bool), np.zeros(own.plain_end, bool)
         for _, _, a, gaps, n in hits.T.tolist():
             span = slice(own.begin[a], own.end[a + n - 1])
@@ -308,11 +346,13 @@ class Index:
             chain = x
             for before in chains:
                 joined = before.extended(x, own.plain_end)
-                if joined and joined.mark.sum() > chain.mark.sum():
+                if joined and (joined.telling, joined.mark.sum()) > (chain.telling, chain.mark.sum()):
                     chain = joined
             chains.append(chain)
-            if (verbatim | chain.mark).sum() > best.sum():
+            if chain.telling and (verbatim | chain.mark).sum() > best.sum():
                 best = verbatim | chain.mark
+            if best.all():
+                break
         return float(best.mean())
 
     def _aligned(self, t: Stream, own: Stream, hits: np.ndarray) -> list[Chain]:
@@ -331,8 +371,9 @@ class Index:
             same = out[at - start]
             one = next((x for x in same if consistent(x.there, x.back, pairs)), None)
             if one is None:
-                same.append(one := Chain(at, to, start, stop, at - start, np.zeros(own.plain_end, bool), {}, {}))
+                same.append(one := Chain(at, to, start, stop, at - start, np.zeros(own.plain_end, bool), {}, {}, False))
             one.add(pairs)
+            one.telling |= not gaps & self.WEAK
             one.mark[start:stop] = True
             one.to, one.stop = max(one.to, to), max(one.stop, stop)
         return sorted((x for same in out.values() for x in same), key=lambda x: (x.at, x.start))
@@ -345,7 +386,8 @@ SHIFT = 4
 @dataclass
 class Chain:
     """Alignments: where the last begins and all end in the text (at, to) and in the
-    item (start, stop), its diagonal, the item's tokens they cover, the slots' values."""
+    item (start, stop), its diagonal, the item's tokens they cover, the slots' values,
+    and whether any window holds a word or a telling mark."""
 
     at: int
     to: int
@@ -355,6 +397,7 @@ class Chain:
     mark: np.ndarray
     there: dict[int, int]
     back: dict[int, int]
+    telling: bool
 
     def add(self, pairs) -> None:
         self.there.update(pairs)
@@ -369,7 +412,7 @@ class Chain:
             return None
         if not consistent(self.there, self.back, x.there.items()):
             return None
-        return Chain(x.at, max(self.to, x.to), x.start, max(self.stop, x.stop), x.diagonal, self.mark | x.mark, self.there | x.there, self.back | x.back)
+        return Chain(x.at, max(self.to, x.to), x.start, max(self.stop, x.stop), x.diagonal, self.mark | x.mark, self.there | x.there, self.back | x.back, self.telling or x.telling)
 
 
 def consistent(there: dict[int, int], back: dict[int, int], pairs) -> bool:
@@ -377,6 +420,12 @@ def consistent(there: dict[int, int], back: dict[int, int], pairs) -> bool:
     return all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs) and len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
 
 
+def marked(x: Stream, n: int) -> np.ndarray:
+    """What the marks within windows of n tokens add to their hashes."""
+    places = [x.marks[k : len(x.marks) - n + 1 + k] * (_PLACES[k] ^ U(0x5DEECE66D << 1)) for k in range(1, n)]
+    return sum(places, np.zeros(len(x.marks) - n + 1, U))
+
+
 def gapped(parts: list[np.ndarray], mask: int, whole: np.ndarray | None = None) -> np.ndarray:
     """Hashes of windows without the places of the mask's bits."""
     out = sum(parts) if whole is None else whole.copy()

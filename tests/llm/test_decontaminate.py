@@ -100,3 +100,17 @@ def test_lengths_that_shift(spark):
     names = "Mary Ann has 5 apples. Mary Ann buys 3 more apples. Mary Ann gives 2 to Ann."
     periods = "take 5 then add 7 then take 5 then add 7 then take 5 then add 7 then take 5 then add 7 then stop here"
     assert search(spark, docs, [(1, item), (2, names), (3, periods)]) == {1: [1], 2: [1], 3: [2], 4: []}
+
+
+def test_windows_of_mostly_placeholders(spark):
+    items = [(1, "Compute 12 + 7 * 3 - 5 / 2"), (2, "Buy 3 kg, 5 lb, 7 oz, 2 kg, 9 lb, 11 oz, 6 kg, 4 lb, 8 oz and 10 kg."), (3, "| Tom | 12 | 5 | 31 | 44 |\n| Ann | 13 | 6 | 32 | 45 |"), (4, "3, 5, 7, 9, 11, 13, 15, 17")]
+    items += [(5, "THE OLD MAN SOLD 12 BAGS OF FLOUR AND 30 BAGS OF RICE TODAY"), (6, "Tom, Ann and Bob met Sue, Max and Joe, then Tom left")]
+    docs = [
+        (1, "so: compute 31+4*9-6/8 now"), (2, "so: compute 31 - 4 * 9 + 6 / 8 now"),
+        (3, "Buy 13 kg, 15 lb, 17 oz, 12 kg, 19 lb, 21 oz, 16 kg, 14 lb, 18 oz and 20 kg."),
+        (4, "| Sam | 1 | 2 | 3 | 4 |\n| Eve | 5 | 6 | 7 | 8 |"), (5, "see 1, 2, 3, 4, 5, 6, 8, 9, 10 there"), (6, "3, 5, 7, 9, 11, 13, 15, 17"),
+        (7, "13 kg, 15 lb, 17 oz, 12 kg, 19 lb, 21 oz, 16 kg, 14 lb, 18 oz, 20 kg"),
+        (8, "THE OLD MAN SOLD 14 BAGS OF FLOUR AND 35 BAGS OF RICE TODAY"), (9, "one two three four 5 six seven eight nine 10 eleven twelve thirteen and more words of it"),
+        (10, "Kim, Eve and Zoe met Lou, Ned and Pat, then Kim left"),
+    ]
+    assert search(spark, docs, items) == {1: [1], 2: [], 3: [2], 4: [3], 5: [], 6: [4], 7: [], 8: [5], 9: [], 10: [6]}
