@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joinloom.llm.decontaminate import without_contaminated
+from joinloom.llm.decontaminate import Settings, without_contaminated
 from joinloom.llm.line_dedup import deduplicated
 from joinloom.llm.minhash import without_near_duplicates
 from joinloom.llm.packing import pack
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or with other parameters, go."""
-    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Settings(short=True))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,13 +47,15 @@ UNITS = (
 class Settings:
     """``window`` tokens are hashed together, with the marks between them if more
     than half are placeholders; an item is found if ``covered`` of its tokens are.  Shorter items
-    are one window; those under ``least`` tokens are not looked for.  ``block``:
+    are one window; those under ``least`` tokens are looked for if ``short``, word for
+    word and with the marks between their tokens.  ``block``:
     characters of items that are broadcast at a time, besides one long item."""
 
     window: int = 8
     covered: float = 0.5
     least: int = 5
     block: int = 8 << 20
+    short: bool = False
 
 
 _DIGIT, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -134,9 +136,9 @@ def stream(t: Tokens, window: int) -> Stream:
     near = np.flatnonzero(sums[np.minimum(at + window, len(begin))] > sums[np.maximum(at - window + 1, 0)])
     begin, end, joined = begin[near], end[near], joined[near]
     quantity = joined & t.number[begin]
-    plain = t.plain[begin].copy()
-    for k in np.flatnonzero(joined & ~quantity).tolist():
-        plain[k] = arrays.whole(t.plain[begin[k] : end[k]])[0]
+    within = np.arange(size) - np.maximum.accumulate(np.where(t.joins, 0, np.arange(size)))
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(t.plain * _PLACES[within % len(_PLACES)])])
+    plain = np.where(joined & ~quantity, arrays.mix(sums[end] - sums[begin]), t.plain[begin])
     measure = np.zeros(len(begin), U)
     measure[quantity] = t.plain[begin[quantity] + 1]
     after = np.diff(near, prepend=-1) != 1
@@ -152,11 +154,14 @@ def tokens(batch: list[str]) -> Tokens:
     buf, starts = arrays.joined(batch)
     upper = np.concatenate([[False], (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)])
     digit = _DIGIT[buf]
+    lone, lead, mark = _lone(buf)
     # A point or comma between digits belongs to the number.
     inner = np.zeros(len(buf), bool)
     inner[1:-1] = ((buf[1:-1] == 44) | (buf[1:-1] == 46)) & digit[:-2] & digit[2:]
     kinds = np.where(digit | inner, 1, np.where(_LETTER[buf], 2, 0)).astype(np.int8)
-    edge = np.flatnonzero(np.diff(kinds, prepend=np.int8(0), append=np.int8(0)))
+    kinds[lone] = 3
+    kinds[mark] = 0
+    edge = np.flatnonzero(np.append(lead, False) | (np.diff(kinds, prepend=np.int8(0), append=np.int8(0)) != 0))
     begin, end = edge[:-1], edge[1:]
     kept = kinds[begin] > 0 if len(begin) else np.empty(0, bool)
     begin, end = begin[kept], end[kept]
@@ -186,6 +191,30 @@ def tokens(batch: list[str]) -> Tokens:
     return Tokens(plain, template, number, unit, capital, capital & ~opens, joins, marks, telling, first)
 
 
+def _lone(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of characters that are tokens alone, as their scripts have no spaces
+    (Han, kana, Thai, Lao, Burmese, Khmer); the first of each; bytes of those scripts'
+    and full-width marks."""
+    none = np.zeros(len(buf), bool)
+    if not (buf >= 0xE0).any():
+        return none, none, none
+    b, c, d = buf, np.append(buf[1:], np.uint8(0)), np.append(buf[2:], np.zeros(2, np.uint8))[: len(buf)]
+    within = lambda x, low, high: (x >= low) & (x <= high)
+    mark = (b == 0xE3) & (c == 0x80) & ~within(d, 0x85, 0x87)
+    mark |= (b == 0xEF) & (((c == 0xBC) & (within(d, 0x81, 0x8F) | within(d, 0x9A, 0xA0) | within(d, 0xBB, 0xBF))) | ((c == 0xBD) & ((d == 0x80) | within(d, 0x9B, 0xA5))))
+    three = within(b, 0xE3, 0xE9) | ((b == 0xE0) & within(c, 0xB8, 0xBB)) | ((b == 0xE1) & (within(c, 0x80, 0x82) | within(c, 0x9E, 0x9F))) | ((b == 0xEF) & within(c, 0xA4, 0xAB))
+    three &= ~mark
+    four = (b == 0xF0) & within(c, 0xA0, 0xB3)
+
+    def all_of(first: np.ndarray, n: int) -> np.ndarray:
+        out = first.copy()
+        for k in range(1, n):
+            out[k:] |= first[:-k]
+        return out
+
+    return all_of(three, 3) | all_of(four, 4), three | four, all_of(mark, 3)
+
+
 _units: list[np.ndarray] = []
 
 
@@ -214,13 +243,15 @@ class Table:
         h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
         self.keys, self.item, self.at = h[order], item[order], at[order]
-        self.shift = U(64 - min(24, max(10, len(h).bit_length() + 4)))
+        self.shift = U(64 - min(24, max(10, len(h).bit_length() + 7)))
         self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
         self.seen[h >> self.shift] = True
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which hashes meet which windows: their number, the item, its token."""
-        pos = np.flatnonzero(self.seen[hashes >> self.shift])
+        pos = np.flatnonzero(self.seen.take((hashes >> self.shift).view(np.int64)))
+        if not len(pos):
+            return pos, pos, pos
         low, high = (np.searchsorted(self.keys, hashes[pos], side) for side in ("left", "right"))
         count = high - low
         row = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -232,6 +263,8 @@ class Index:
 
     #: The gaps' key of plain windows.
     PLAIN = -1
+    #: That of plain windows with the marks in them, for short items.
+    SHORT = -2
     #: Added to the gaps' key: marks are hashed too; nothing in the window is telling.
     DENSE, WEAK = 1 << 61, 1 << 60
 
@@ -243,8 +276,10 @@ class Index:
         for k, (item, _) in enumerate(items):
             own = t.part(t.first[k], t.first[k + 1])
             key = own.plain.tobytes() + own.unit.tobytes() + own.capital.tobytes() + own.name.tobytes()
-            if len(own.plain) < s.least:
+            if len(own.plain) < (1 if s.short else s.least):
                 continue
+            if len(own.plain) < s.least:
+                key += own.marks[1:].tobytes()
             if key in seen:
                 self.ids[seen[key]].append(item)
                 continue
@@ -260,6 +295,9 @@ class Index:
         too many, with marks and gaps, unless gaps outnumber all that is not a gap."""
         self.items.append(own)
         size = own.plain_end
+        if size < self.s.least:
+            self.found[size][self.SHORT].append(((sum(terms(own.plain, size)) + marked(own, size))[:1], np.array([item]), np.array([0])))
+            return
         short = size - int((own.end - own.begin - 1)[size:].sum())  # its tokens with joined ones as one
         self._add_windows(own, int(min(self.s.window, size)), item, slice(0, size if short < self.s.window else None))
         if self.s.least <= short < min(self.s.window, size):
@@ -305,9 +343,16 @@ class Index:
             inside = t.whole(n)
             plain, parts = sum(terms(t.plain, n)), terms(t.template, n)
             whole = sum(parts)
-            dense = whole + marked(t, n) if any(gaps >= self.DENSE for gaps in tables) else whole
+            between = marked(t, n) if any(gaps >= self.DENSE or gaps == self.SHORT for gaps in tables) else U(0)
+            dense = whole + between
             for gaps, table in tables.items():
-                pos, item, at = table.find(plain if gaps == self.PLAIN else gapped(parts, gaps, dense if gaps >= self.DENSE else whole))
+                if gaps < 0:
+                    hashes = plain if gaps == self.PLAIN else plain + between
+                else:
+                    hashes = gapped(parts, gaps, dense if gaps >= self.DENSE else whole)
+                pos, item, at = table.find(hashes)
+                if not len(pos):
+                    continue
                 kept = inside[pos]
                 hits.append(np.stack([pos, item, at, np.full(len(pos), gaps), np.full(len(pos), n)])[:, kept])
         if not hits or not (hits := np.concatenate(hits, axis=1)).shape[1]:
@@ -337,12 +382,12 @@ class Index:
         for _, _, a, gaps, n in hits.T.tolist():
             span = slice(own.begin[a], own.end[a + n - 1])
             every[span] = True
-            if gaps == self.PLAIN:
+            if gaps < 0:
                 verbatim[span] = True
         if every.mean() < self.s.covered or verbatim.all():
             return float(verbatim.mean())
         best, chains = verbatim, []
-        for x in self._aligned(t, own, hits[:, hits[3] != self.PLAIN]):
+        for x in self._aligned(t, own, hits[:, hits[3] >= 0]):
             chain = x
             for before in chains:
                 joined = before.extended(x, own.plain_end)
@@ -428,10 +473,11 @@ def marked(x: Stream, n: int) -> np.ndarray:
 
 def gapped(parts: list[np.ndarray], mask: int, whole: np.ndarray | None = None) -> np.ndarray:
     """Hashes of windows without the places of the mask's bits."""
-    out = sum(parts) if whole is None else whole.copy()
+    out, copied = sum(parts) if whole is None else whole, whole is None
     for k, x in enumerate(parts):
         if mask >> k & 1:
-            out -= x
+            out = np.subtract(out, x, out=out if copied else None)
+            copied = True
     return out
 
 
@@ -456,7 +502,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(
     item_ids (sorted), coverage (the largest share of an item that was found, 0 if none).
 
     benchmark: item_id, text; items with a null id are not looked for, a null text is
-    empty.  A null text holds nothing.  Rows with a null doc_id give one row together;
+    empty, and a text without a letter or digit is never found.  A null text holds nothing.  Rows with a null doc_id give one row together;
     repeated rows of a doc_id give one.  No other columns are read.  An empty benchmark
     contaminates nothing; empty documents give an empty table.
     """

@@ -114,3 +114,14 @@ def test_windows_of_mostly_placeholders(spark):
         (10, "Kim, Eve and Zoe met Lou, Ned and Pat, then Kim left"),
     ]
     assert search(spark, docs, items) == {1: [1], 2: [], 3: [2], 4: [3], 5: [], 6: [4], 7: [], 8: [5], 9: [], 10: [6]}
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    chinese = "小明有5个苹果。他又买了3个苹果，然后给了小红2个。"
+    items = [(1, "12 * 7 = ?"), (2, "Capital of France?"), (3, chinese), (4, "ราคาแอปเปิ้ลวันนี้"), (5, "谁是他"), (6, "?")]
+    docs = [
+        (1, "say 12*7 = 84"), (2, "say 12, 7"), (3, "the capital of France is"), (4, "前面的话" + chinese + "后面的话"), (5, chinese.replace("5", "8").replace("3", "4").replace("2", "1")),
+        (6, "ดูราคาแอปเปิ้ลวันนี้สิ"), (7, "请问谁是他呢"), (8, "他是谁?"), (9, "capital France"),
+    ]
+    assert search(spark, docs, items, Settings(short=True)) == {1: [1], 2: [], 3: [2], 4: [3], 5: [3], 6: [4], 7: [5], 8: [], 9: []}
+    assert search(spark, docs, items) == {1: [], 2: [], 3: [], 4: [3], 5: [3], 6: [4], 7: [], 8: [], 9: []}
