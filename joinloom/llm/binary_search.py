@@ -60,10 +60,12 @@ def top_k(items: DataFrame, queries: DataFrame, bits: int, k: int) -> DataFrame:
         return df.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), binary_code("embedding", bits).alias("code"))
 
     # A code's smallest ids: row_number() <= n limits groups before the shuffle too.
+    # Repeated rows of an id are one, or they would take other ids' places.
     by_id = Window.partitionBy("code").orderBy("vec_id")
-    ids = coded(items).withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= most)
+    every = coded(items).distinct()
+    ids = every.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= most)
     ids = work.stage(ids.select("code", "vec_id"), "ids")
-    total = ids.select("vec_id").distinct().count()
+    total = every.select("vec_id").distinct().count()
     codes = work.stage(ids.select("code").distinct(), "codes")
     index = work.stage(codes.select("code", F.posexplode("code").alias("segment", "value")), "index")
     asked = work.stage(coded(queries).groupBy("vec_id").agg(F.min("code").alias("code")).withColumnRenamed("vec_id", "query_id"), "queries")

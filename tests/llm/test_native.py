@@ -113,3 +113,11 @@ def test_top_k(spark):
     few = df.filter("vec_id IN (0, 1, 2)")
     assert top_k(few, few, 32, 5).count() == 6
     assert top_k(df.limit(0), df.limit(0), 32, 5).count() == 0
+
+
+def test_top_k_repeated_rows(spark):
+    near, far = [1.0] * 16, [1.0] * 12 + [-1.0] * 4
+    rows = [(1, near)] * 12 + [(2, near)] * 3 + [(i, near) for i in (3, 4)] + [(5, far), (6, far), (6, near)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(df, df.filter("vec_id IN (1, 5)"), 16, 3).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 2, 0), (1, 2, 3, 0), (1, 3, 4, 0), (5, 1, 6, 0), (5, 2, 1, 4), (5, 3, 2, 4)]
