@@ -1,7 +1,9 @@
 """Packing into sequences that each hold the sources in target proportions.
 
 Each source is a queue of documents, laid end to end as one token stream; sources
-too small for ``min_quota`` tokens a sequence share one queue.  Deficit round-robin
+too small for ``min_quota`` tokens a sequence share one queue, the pool, in which each
+still has its own: by deficits that accumulate over windows, a source gives ``min_quota``
+tokens whenever its share of the pool makes them due.  Deficit round-robin
 visits the queues once per window (a sequence): queue s is due w * size * p_s tokens
 after w windows, takes what it is due in whole tokens, and carries the rest - its
 deficit, always under one token - on.  Whole tokens that a window has left go to the
@@ -91,6 +93,28 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source, "text").mapInArrow(run, "doc_id long, source string, n long, ids binary")
 
 
+def _quanta(t: DataFrame, sums: DataFrame, quantum: int, bucket: int) -> DataFrame:
+    """The documents of small sources cut where their source's tokens fill a quantum:
+    due (the share of the source given when the piece's quantum is full, under 1 but
+    for the last), place (in the source), base (in the document), n and ids of each
+    piece.  In order of due, every source has given its share, to a quantum."""
+    x = t.join(sums.select("source", F.col("n").alias("of")), "source")
+    x = x.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("of") / bucket)))
+    parts = x.groupBy("source", "part").agg(F.sum("n").alias("held"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("source", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
+    own = Window.partitionBy("source", "part").orderBy("doc_id", "n", "ids").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(parts, ["source", "part"]).withColumn("at", F.col("first") + F.sum("n").over(own) - F.col("n"))
+    last = F.floor((F.col("at") + F.col("n") - 1) / quantum)
+    x = x.withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / quantum), last)))
+    x = x.withColumn("place", F.greatest("at", F.col("k") * quantum)).withColumn("base", F.col("place") - F.col("at"))
+    length = F.least(F.col("at") + F.col("n"), (F.col("k") + 1) * quantum) - F.col("place")
+    width = (F.octet_length("ids") / F.col("n")).cast("int")
+    ids = F.col("ids").substr((F.col("base") * width + 1).cast("int"), (length * width).cast("int"))
+    due = F.least((F.col("k") + 1) * quantum / F.col("of"), F.lit(1.0))
+    return x.select(due.alias("due"), "place", "doc_id", "source", length.alias("n"), ids.alias("ids"), "base", F.col("n").alias("doc_tokens"))
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -102,7 +126,8 @@ def pack(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: int = 1,
     null source is the source ''.  Documents of a queue follow each other by a hash
     and doc_id, repeated rows by their ids; a null doc_id is kept as null.  All
     sequences but the last are full, so only that one needs padding.  An empty table
-    gives no pieces.  Columns other than the three are not read.
+    gives no pieces.  Proportions are the sources' shares of all tokens; others can't
+    be asked for.  Columns other than the three are not read.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
@@ -114,27 +139,33 @@ def pack(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: int = 1,
     large = sums.filter(F.col("n") * size >= min_quota * total).orderBy("source").collect()  # at most size / min_quota
     names, totals = [r.source for r in large], [r.n for r in large]
     rest = total - sum(totals)
-    pool = len(names)
-    if rest and rest * size < total:  # under a token a window: with the largest
-        pool = int(np.argmax(totals))
-        totals[pool] += rest
-    elif rest:
+    while rest and totals and rest * size < min_quota * total:  # too little for a pool: with the smallest that has a queue
+        least = int(np.argmin(totals))
+        rest += totals.pop(least)
+        names.pop(least)
+    if rest:
         totals.append(rest)
+    pool = len(names)
     mixture = Mixture(tuple(totals), size)
 
     queues = spark.createDataFrame([(s, i) for i, s in enumerate(names)] or [("", 0)], "source string, queue int")
     buckets = F.lit(None)
     for i, n in enumerate(totals):
         buckets = F.when(F.col("queue") == i, F.lit(-(-n // bucket))).otherwise(buckets)
-    q = t.join(F.broadcast(queues), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(min(pool, len(totals) - 1))))
+    q = t.join(F.broadcast(queues), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(pool)))
     q = q.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), buckets.cast("long")))
+    q = q.select("queue", "bucket", F.lit(0.0).alias("due"), F.lit(0).cast("long").alias("place"), "doc_id", "source", "n", "ids", F.lit(0).cast("long").alias("base"), F.col("n").alias("doc_tokens"))
+    if rest:
+        pooled = _quanta(t.join(F.broadcast(queues), "source", "left_anti"), sums, min_quota, bucket)
+        pooled = work.stage(pooled.withColumn("bucket", F.least(F.floor(F.col("due") * (-(-rest // bucket))), F.lit(-(-rest // bucket) - 1))), "pool")
+        q = q.filter(F.col("queue") < pool).unionByName(pooled.withColumn("queue", F.lit(pool)))
     sizes = q.groupBy("queue", "bucket").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = sizes.select("queue", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         queue, begin = int(key[0]), int(key[2])
-        pdf = pdf.sort_values(["doc_id", "source", "n", "ids"], kind="stable")
+        pdf = pdf.sort_values(["due", "source", "place", "doc_id", "n", "ids"], kind="stable")
         n = pdf["n"].to_numpy()
         at = begin + np.concatenate([[0], np.cumsum(n)])
         w, takes, offset = mixture.windows(queue, begin, int(at[-1]))
@@ -148,7 +179,7 @@ def pack(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: int = 1,
         flat = memoryview(np.frombuffer(raw, kind).astype("<u4").tobytes())
         crc = [zlib.crc32(flat[4 * a : 4 * (a + k)]) for a, k in zip((starts - begin).tolist(), length.tolist(), strict=True)]
         return pd.DataFrame({
-            "doc_id": pdf["doc_id"].to_numpy()[doc], "start": starts - at[doc], "length": length, "ids_crc32": crc, "doc_tokens": n[doc],
+            "doc_id": pdf["doc_id"].to_numpy()[doc], "start": starts - at[doc] + pdf["base"].to_numpy()[doc], "length": length, "ids_crc32": crc, "doc_tokens": pdf["doc_tokens"].to_numpy()[doc],
             "sequence_id": w[win], "offset": offset[win] + starts - takes[win], "source": pdf["source"].to_numpy()[doc],
         })
 

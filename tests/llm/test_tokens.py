@@ -98,3 +98,27 @@ def test_mixture_carries_deficits(totals):
     assert (abs(exact - taken) < 1 + 1e-6).all()
     if min(totals) * 2048 >= m.total:
         assert (np.diff(taken, axis=0) >= 0).all()
+
+
+def test_many_small_sources_keep_their_shares(spark):
+    schema = "doc_id long, text string, source string"
+    data = [(i, f"word {i} " * 60, f"s{i % 40:02}") for i in range(80)] + [(1000 + i, "other text here " * 20, "tiny") for i in range(2)]
+    got = pack(spark.createDataFrame(data, schema), PATH, size=256, bucket=900).collect()
+    total, sums, held, spans, docs = sum(r.length for r in got), {}, {}, {}, {}
+    for r in got:
+        sums[r.source] = sums.get(r.source, 0) + r.length
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        docs.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
+        held[r.sequence_id, r.source] = held.get((r.sequence_id, r.source), 0) + r.length
+    for pieces, want in [*((x, n) for (_, n), x in docs.items()), *((x, min(256, total - 256 * w)) for w, x in spans.items())]:
+        at = 0
+        for a, n in sorted(pieces):
+            assert a == at
+            at += n
+        assert at == want
+    assert len(docs) == 82
+    for source, n in sums.items():
+        given = 0
+        for w in sorted(spans):
+            given += held.get((w, source), 0)
+            assert abs(given - n * min(256 * (w + 1), total) / total) <= 40, (source, w)
