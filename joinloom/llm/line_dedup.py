@@ -11,6 +11,9 @@ the suffix array whose longest common prefix is that run or longer; each maximal
 repeated run is the union of such intervals' runs.  The first suffix of an interval
 (by doc_id and line) stays; the lines of the others are later copies and go.
 
+The unit is the whole line: a repeated passage that begins or ends inside lines counts only
+from its first whole common line to its last, and one inside a single line isn't found.
+
 Doubling happens inside each row's arrays, so no shuffle is needed for it.  Runs are
 written once, to the shared folder, and read twice; intervals are formed by an aggregation with partial sums and joined back: a run that a third of
 all texts hold is a skewed join key, never a group in one task.
