@@ -6,23 +6,27 @@ Nodes whose sketches must overlap meet in inverted lists of retained values; the
 sketch of a pair's union estimates their similarity; the full sets of what passes
 are compared.  Links give components.
 
-Which values are listed: a pair of similarity 0.8 shares at least half of each
-sketch (short of it by a chance under 1e-7 with k = 64; with sets that fit into the
-sketch, never).  So it is enough to list the half of a sketch, and one value, that
-is rarest over all texts: two such halves have a value in common.  A passage that
-very many texts share is common, hence not listed by texts that have enough else.
-
-How long lists are worked off: never by all pairs.  A list's members are compared
-with a few hubs of it; once linked, they are one component and need no further
-comparison.  The first hub is the member whose values are retained most often, as
-the text that others were copied from is; the lists of its copies have it in common.
-The next round compares only members of different components in the
-list: those outside the largest component are hubs, first a few, then more, until
-no list has two components with an untested pair.  By then shingles that a text has
-alone, and those of the first hub that it is missing, rule out most pairs of texts
-that are alike, but not enough.  So a list of n copies takes n comparisons, and no
-link between components is lost but by the sketch's estimate: pairs estimated 0.25 under
-the threshold are not verified, which a pair at exactly 0.8 is with a chance of 4.2e-06.
+Which values are listed: a pair of similarity 0.8 shares at least half of each sketch.
+So it is enough to list the half of a sketch, and one value, that is rarest over all
+texts: two such halves have a value in common.  A passage that very many texts share
+is common, hence not listed by texts that have enough else.
+
+How lists are worked off: never by all pairs.  A list's members are compared with one
+hub of it, the member whose values are retained most often, as the text that others
+were copied from is; the lists of its copies have it in common.  That settles lists
+whose members all became one component.  In the others, the members' full sets decide
+which pairs are left: all shingles are put in one order, those that fewest unsettled
+nodes have first.  If i shingles of one text and j of another come before the first
+they have in common, none of these is shared, so the texts differ in i + j shingles at
+least; a link at 80 % allows a ninth of both sizes.  So only a short prefix of each set
+is listed, without shingles that a node has alone - what a copy changed by itself -, and
+the join's condition compares positions, sizes and components.  This step is exact:
+it finds every link that the hubs left, also those that the estimate didn't pass.
+
+What can be lost: a pair whose sketches share less than half of their values.  At a
+similarity of 0.8 and k = 64 the chance is 2e-08 at most (33 of 64 values in one text
+only, each with a chance of 0.2), less for pairs more alike, and none with sets that
+fit into the sketch; other paths through the component still join such a pair.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinloom.llm import arrays
@@ -40,10 +44,8 @@ from joinloom.llm.workspace import Workspace
 
 #: Retained values of a sketch.
 K = 64
-#: Hubs of a list in each round; in the last and later ones all that can be.
-HUBS = (1, 16, 1 << 62)
-#: Candidates of a node that are verified in each round, best estimates first.
-VERIFIED = (1, 4, 1 << 30)
+#: How far under the threshold a hub's estimate may be; lower ones are left to the exact step.
+MARGIN = 0.1
 #: Rows up to which a table of two or three longs may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -89,20 +91,18 @@ def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """pairs (hub, m, text_hub, text_m) -> (hub, m, linked, missing), by their full
-    sets; missing: how many of hub's shingles m doesn't have."""
+    """pairs (hub, m, text_hub, text_m) -> (hub, m, linked), by their full sets."""
 
     def run(batches):
         for b in arrays.slices(batches):
             left, right = arrays.texts(b.column("text_hub")), arrays.texts(b.column("text_m"))
-            linked, missing = [], []
+            linked = []
             for s, t in zip(_sets(left, n), _sets(right, n), strict=True):
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 linked.append(100 * both >= percent * (len(s) + len(t) - both))
-                missing.append(len(s) - both)
-            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("m"), pa.array(linked, pa.bool_()), pa.array(missing, pa.int64())], ["hub", "m", "linked", "missing"])
+            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("m"), pa.array(linked, pa.bool_())], ["hub", "m", "linked"])
 
-    return pairs.select("hub", "m", "text_hub", "text_m").mapInArrow(run, "hub long, m long, linked boolean, missing long")
+    return pairs.select("hub", "m", "text_hub", "text_m").mapInArrow(run, "hub long, m long, linked boolean")
 
 
 def _listed(nodes: DataFrame) -> DataFrame:
@@ -116,15 +116,6 @@ def _listed(nodes: DataFrame) -> DataFrame:
     return ranked.select("node", "weight", F.explode(F.slice("shared", F.lit(1), length)).alias("x")).select("x.v", "node", "weight")
 
 
-def _active(lists: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(v, node, comp); and of lists with several components (v, big, minor): the
-    component with most members, and how many members are not in it."""
-    member = lists.join(comp, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("id")
-    parts = member.groupBy("v", "comp").agg(F.count("*").alias("n"))
-    active = parts.groupBy("v").agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    return member, active.select("v", (-F.col("most.c")).alias("big"), (F.col("n") - F.col("most.n")).alias("minor"))
-
-
 def _merged(comp: DataFrame | None, links: DataFrame, work: Workspace) -> DataFrame:
     """Components after more links (a, b).  Only components are linked anew, not nodes."""
     if comp is None:
@@ -137,61 +128,66 @@ def _merged(comp: DataFrame | None, links: DataFrame, work: Workspace) -> DataFr
     return work.stage(moved.unionByName(new), "components")
 
 
-def _narrowed(lists: DataFrame, comp: DataFrame, base: DataFrame | None, sketch: DataFrame, text: DataFrame, n: int, percent: int, work: Workspace) -> DataFrame:
-    """(v, node, n, own, base, missing) of lists with several components.
-
-    own: how many shingles of the node's full set no other node of these lists, and no
-    base, has.  base: the hub it was compared with in the first round, and how many of
-    that one's shingles it is missing (null if none).  See ``_difference``.
-    """
-    member, active = _active(lists, comp)
-    member = work.stage(member.join(active, "v", "left_semi").select("v", "node"), "unsettled")
-    base = base if base is not None else member.select("node", F.col("node").alias("base"), F.lit(0).cast("long").alias("missing")).limit(0)
-    nodes = member.select("node").distinct()
-    counted = nodes.unionByName(base.select(F.col("base").alias("node"))).distinct()
-
-    def run(batches):
-        for b in arrays.slices(batches):
-            sets = list(_sets(arrays.texts(b.column("text")), n))
-            of = np.repeat(b.column("node").to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], ["node", "h"])
+def _hub_pairs(lists: DataFrame) -> DataFrame:
+    """(hub, m): each list's members with its hub; each pair once."""
+    heads = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("h"), F.count("*").alias("n")).filter("n > 1")
+    heads = heads.select("v", (-F.col("h.node")).alias("hub"))
+    pairs = lists.join(heads, "v").filter("node <> hub").select("hub", F.col("node").alias("m"))
+    pairs = pairs.groupBy(F.least("hub", "m").alias("low"), F.greatest("hub", "m").alias("high")).agg(F.max("hub").alias("hub"))
+    return pairs.select("hub", (F.col("low") + F.col("high") - F.col("hub")).alias("m"))
 
-    each = text.join(counted, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, h long")
-    own = each.groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("c")).filter("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-    size = sketch.select("node", F.col("n_shingles").alias("n")).join(nodes, "node", "left_semi").join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
-    size = size.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).join(base, "node", "left")
-    return work.stage(member.join(size, "node"), "narrowed")
 
+def _unsettled(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(node, comp) of nodes in lists with several components."""
+    if comp is None:
+        member = lists.select("v", "node", F.col("node").alias("comp"))
+    else:
+        member = lists.select("v", "node").join(comp, F.col("node") == F.col("id"), "left").select("v", "node", F.coalesce("comp", "node").alias("comp"))
+    open_ = member.groupBy("v").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("v")
+    return member.join(open_, "v", "left_semi").select("node", "comp").distinct()
 
-def _difference(a: str, b: str) -> Column:
-    """At least so many shingles are in one of two nodes but not in both: those that a
-    node has alone, and, of a common base's shingles (none of which these are), those
-    that one is missing more than the other.  If what copies add is theirs alone, a
-    copy that differs too much from the base is not linked with any other."""
-    f = lambda side, name: F.col(f"{side}{name}")
-    more = F.when(f(a, "base") == f(b, "base"), F.abs(f(a, "missing") - f(b, "missing"))).otherwise(0)
-    return f(a, "own") + f(b, "own") + more
 
+def _prefixes(unsettled: DataFrame, text: DataFrame, n: int, percent: int) -> DataFrame:
+    """(h, node, comp, n, i): the shingles of each set, in the one order of all, among
+    which a link's first common one must be; i: how many of the set come before."""
 
-def _candidates(lists: DataFrame, comp: DataFrame | None, hubs: int, turn: int, percent: int) -> DataFrame:
-    """(low, high, hub, m) of different components in a list; low and high are hub and m
-    in the order of ids, and each such pair is there once."""
-    if comp is None:
-        heads = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("h"), F.count("*").alias("n")).filter("n > 1")
-        heads = heads.select("v", (-F.col("h.node")).alias("hub"))
-        pairs = lists.join(heads, "v").filter("node <> hub").select("hub", F.col("node").alias("m"))
-    else:
-        member, active = _active(lists, comp)
-        member = member.join(active, "v")
-        # A node's draw is the same in all lists, so that lists alike have hubs alike.
-        draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 31)) / F.lit(float(1 << 31))
-        chosen = member.filter((F.col("comp") != F.col("big")) & (draw * F.col("minor") < hubs))
-        heads = chosen.select(F.col("node").alias("hub"), *[F.col(c).alias(f"h{c}") for c in ("v", "comp", "n", "own", "base", "missing")])
-        both, apart = F.col("n") + F.col("hn"), _difference("", "h")
-        fits = 100 * (both - apart) >= percent * (both + apart)
-        pairs = member.join(heads, (F.col("v") == F.col("hv")) & (F.col("comp") != F.col("hcomp")) & fits).select("hub", F.col("node").alias("m"))
-    pairs = pairs.groupBy(F.least("hub", "m").alias("low"), F.greatest("hub", "m").alias("high")).agg(F.max("hub").alias("hub"))
-    return pairs.select("low", "high", "hub", (F.col("low") + F.col("high") - F.col("hub")).alias("m"))
+    def run(batches):
+        for b in arrays.slices(batches):
+            sets = list(_sets(arrays.texts(b.column("text")), n))
+            size = [len(x) for x in sets]
+            node, comp = (np.repeat(b.column(c).to_numpy(), size) for c in ("node", "comp"))
+            at = np.repeat(size, size)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node, comp, at, np.concatenate([*sets, np.empty(0, np.int64)]))], ["node", "comp", "n", "h"])
+
+    each = text.join(unsettled, "node").select("node", "comp", "text").mapInArrow(run, "node long, comp long, n long, h long")
+    often = each.groupBy("h").count().filter("count > 1")
+    sets = each.join(often, "h").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("count", "h"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")  # these come first
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    sets = sets.select("node", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(most, F.lit(0)).cast("int"))).alias("at", "x"))
+    return sets.select("x.h", "node", "comp", "n", (F.col("alone") + F.col("at")).alias("i"))
+
+
+def _left_pairs(prefixes: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """(hub, m) of different components that may still be linked, each once.
+
+    A pair is linked if it differs in d shingles with (100 + percent) * d <=
+    (100 - percent) * (sum of the sizes).  q is a text's own part of that at its i; only
+    nodes whose q some other's can make up for stay in a shingle's list, and its
+    commonest component is not compared with itself."""
+    q = F.col("i") * (100 + percent) - F.col("n") * (100 - percent)
+    rows = work.stage(prefixes.withColumn("q", q), "prefixes")
+    parts = rows.groupBy("h", "comp").agg(F.count("*").alias("c"), F.min("q").alias("q"))
+    of = parts.groupBy("h").agg(F.min("q").alias("least"), F.max(F.struct("c", (-F.col("comp")).alias("comp"))).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    rows = rows.join(of.select("h", "least", (-F.col("most.comp")).alias("big")), "h").filter("q + least <= 0")
+    rows = work.stage(rows.select("h", "node", "comp", "n", "i", "q", (F.col("comp") == F.col("big")).alias("big")), "positions")
+    a = rows.filter("NOT big").select(*[F.col(c).alias(f"a_{c}") for c in ("h", "node", "comp", "n", "i", "q")])
+    longer = F.col("a_n") - F.col("n")
+    differ = 2 * F.greatest(F.col("a_i"), F.col("i") + longer) - longer
+    fits = (F.col("a_q") + F.col("q") <= 0) & ((100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("n")))
+    fits &= 100 * F.least("a_n", "n") >= percent * F.greatest("a_n", "n")
+    pairs = a.join(rows, (F.col("a_h") == F.col("h")) & (F.col("a_comp") != F.col("comp")) & (F.col("big") | (F.col("a_node") < F.col("node"))) & fits)
+    return pairs.select(F.greatest("a_node", "node").alias("hub"), F.least("a_node", "node").alias("m")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -204,6 +200,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
     is null is linked with nothing: component null, kept true.  Texts are linked if
     100 * shared >= percent * union; component_id is the smallest doc_id that links
     reach.  Columns other than doc_id and text are not read.  Empty in, empty out.
+    Texts are taken whole; a very long one is one row of a task, its set held in memory.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "minhash")
@@ -217,35 +214,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
     text = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(of, "node", "left_semi")
     text = work.stage(text.dropDuplicates(["node"]), "listed-texts")
 
-    comp = tested = None
-    turn = 0
-    while True:
-        hubs, most = HUBS[min(turn, len(HUBS) - 1)], VERIFIED[min(turn, len(VERIFIED) - 1)]
-        pairs = _candidates(lists, comp, hubs, turn, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["low", "high"], "left_anti")
-        pairs = work.stage(_estimated(pairs, sketch, k, percent), "estimated")
-        count, near = pairs.select(F.count("*"), F.count_if("near")).first()
-        if count == 0:
-            if comp is None or _active(lists, comp)[1].filter(F.col("minor") > hubs).isEmpty():
-                break
-            turn += 1
-            continue
-        far = pairs.filter("NOT near").select("low", "high")
-        if near:
-            best = F.row_number().over(_by("m", F.desc("estimate"), "hub"))
-            tries = pairs.filter("near").select("hub", "m", "estimate").withColumn("r", best).filter(F.col("r") <= most).select("hub", "m")
-            done = work.stage(_verify(tries, text, shingle, percent, near), "verified")
-            far = far.unionByName(done.filter("NOT linked").select(F.least("hub", "m").alias("low"), F.greatest("hub", "m").alias("high")))
-            found = done.filter("linked").select(F.col("hub").alias("a"), F.col("m").alias("b"))
-            comp = _merged(comp, found, work)
-        tested = far if tested is None else tested.unionByName(far)
-        if comp is None:
-            comp = lists.select(F.col("node").alias("id"), F.col("node").alias("comp")).limit(0)
-        if turn == 0:
-            base = done.select(F.col("m").alias("node"), F.col("hub").alias("base"), "missing") if near else None
-            lists = _narrowed(lists, comp, base, sketch, text, shingle, percent, work)
-        turn += 1
+    pairs = work.stage(_estimated(_hub_pairs(lists), sketch, k, percent), "estimated")
+    best = F.row_number().over(_by("m", F.desc("estimate"), "hub"))
+    tries = work.stage(pairs.withColumn("r", best).filter("r = 1").select("hub", "m"), "tries")
+    comp = None
+    if not tries.isEmpty():
+        comp = _merged(None, _links(tries, text, shingle, percent, work), work)
+    unsettled = work.stage(_unsettled(lists, comp), "unsettled")
+    tries = work.stage(_left_pairs(_prefixes(unsettled, text, shingle, percent), percent, work), "left")
+    if not tries.isEmpty():
+        comp = _merged(comp, _links(tries, text, shingle, percent, work), work)
+    work.release(lists, sketch, text)
 
     member = named.select("doc_id", "d1", "d2").join(groups, ["d1", "d2"])
     if comp is not None:
@@ -255,7 +234,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, k:
     member = member.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = s.select("doc_id", "n_shingles").join(member, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return work.result(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -271,23 +250,22 @@ def _by(key, *order):
 
 
 def _estimated(pairs: DataFrame, sketch: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs with estimate and near: whether sizes and the union's sketch allow a link."""
+    """(hub, m, estimate) of the pairs whose sizes and union sketch speak for a link."""
     short = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))  # in the same order; enough for an estimate
     a = sketch.select(F.col("node").alias("hub"), short.alias("sa"), F.col("n_shingles").alias("na"))
     b = sketch.select(F.col("node").alias("m"), short.alias("sb"), F.col("n_shingles").alias("nb"))
-    x = pairs.join(a, "hub").join(b, "m")
+    x = pairs.join(a, "hub").join(b, "m").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    x = x.select("low", "high", "hub", "m", "na", "nb", union.alias("u"), F.array_intersect("sa", "sb").alias("i"))
-    estimate = F.size(F.array_intersect("i", "u")) / F.size("u")
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return x.select("low", "high", "hub", "m", estimate.alias("estimate"), (fits & (estimate >= percent / 100 - 0.25)).alias("near"))
+    x = x.select("hub", "m", union.alias("u"), F.array_intersect("sa", "sb").alias("i"))
+    x = x.select("hub", "m", (F.size(F.array_intersect("i", "u")) / F.size("u")).alias("estimate"))
+    return x.filter(F.col("estimate") >= percent / 100 - MARGIN)
 
 
-def _verify(tries: DataFrame, text: DataFrame, n: int, percent: int, count: int) -> DataFrame:
-    """Few pairs fetch their texts by broadcast (three longs a row, at most
-    BROADCAST_ROWS rows); many by shuffle."""
-    if count <= BROADCAST_ROWS:
+def _links(tries: DataFrame, text: DataFrame, n: int, percent: int, work: Workspace) -> DataFrame:
+    """(a, b) of the pairs that their full sets link.  Few pairs fetch their texts by
+    broadcast (two longs a row, at most BROADCAST_ROWS rows); many by shuffle."""
+    if tries.count() <= BROADCAST_ROWS:
         tries = F.broadcast(tries)
     x = text.select(F.col("node").alias("m"), F.col("text").alias("text_m")).join(tries, "m")
     x = x.join(text.select(F.col("node").alias("hub"), F.col("text").alias("text_hub")), "hub")
-    return verified(x, n, percent)
+    return work.stage(verified(x, n, percent), "verified").filter("linked").select(F.col("hub").alias("a"), F.col("m").alias("b"))

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from joinloom.llm import minhash
-from joinloom.llm.minhash import near_duplicates
+from joinloom.llm.minhash import near_duplicates, without_near_duplicates
 
 SCHEMA = "doc_id long, text string, v long, node long, hub long, m long, comp long, n_shingles long"
 
@@ -83,5 +83,51 @@ def test_edges(spark):
     assert got == sorted([(None, None, True), (None, None, True), (7, 7, True), (7, 7, True), (9, 7, False)], key=str)
 
 
-def test_every_pair_shares_a_listed_value():
-    assert minhash.HUBS[-1] > 1 << 60 and minhash.VERIFIED[-1] >= 1 << 30
+
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_large_group_with_pooled_edits(spark, seed):
+    """Copies of one text by changes of a pool, many of them just under 0.8 to it and to
+    each other, texts that are parts of it, and a passage that others share with it."""
+    r = random.Random(seed)
+    base = [f"b{k}" for k in range(120)]
+    pool = [(r.randrange(120), f"e{k}") for k in range(40)]
+    docs = []
+    for _ in range(220):
+        w = list(base)
+        for k, new in r.sample(pool, r.randint(0, 6)):
+            w[k] = new
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(120)] = f"own{r.random()}"
+        if r.random() < 0.2:
+            w = w[r.randint(0, 30) : r.randint(90, 120)]
+        docs.append(" ".join(w))
+    docs += [" ".join(base[20:60] + [f"x{i}_{k}" for k in range(r.randint(10, 60))]) for i in range(40)]
+    r.shuffle(docs)
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame([(i, t, 0, 0, 0, 0, 0, 0) for i, t in docs], SCHEMA)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(df, shingle=4).collect()}
+    want = brute(docs, 4)
+    assert got == want
+    sizes = sorted(list(map(lambda c: c[1], want.values())).count(x) for x in {c for _, c in want.values()})
+    assert sizes[-1] > 60 and sizes.count(1) > 40
+
+
+def test_exact_step_alone(spark, monkeypatch):
+    """With no pair let through by the estimate, the prefixes find every link."""
+    monkeypatch.setattr(minhash, "MARGIN", -1.0)
+    docs = corpus(9)
+    df = spark.createDataFrame([(i, t, 0, 0, 0, 0, 0, 0) for i, t in docs], SCHEMA)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(df, shingle=4).collect()}
+    assert got == brute(docs, 4)
+
+
+def test_without_near_duplicates(spark):
+    text = " ".join(f"k{i}" for i in range(30))
+    rows = [(None, text), (7, text), (7, text), (9, text), (None, None), (3, None), (4, "")]
+    df = spark.createDataFrame([(i, t, 5, 0, 0, 0, 0, 0) for i, t in rows], SCHEMA)
+    kept = without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 4, 7, 7, None, None]
+    assert without_near_duplicates(df.limit(0)).count() == 0
