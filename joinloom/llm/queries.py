@@ -90,11 +90,11 @@ def op5(spark, sf_dir):
     return chat.chat_format(_read(spark, sf_dir, "conversations"))
 
 
-#: Bits of a code, neighbours, and which ids are queries (those divisible by it).
-BITS, NEIGHBOURS, EVERY = 64, 10, 50
+#: Neighbours, and which ids are queries (those divisible by it).
+NEIGHBOURS, EVERY = 10, 50
 
 
-@query("op10_exact_top_k_search", binary_search.sql(BITS, NEIGHBOURS, EVERY))
+@query("op10_exact_top_k_search", binary_search.sql(NEIGHBOURS, EVERY))
 def op10(spark, sf_dir):
     vectors = _read(spark, sf_dir, "embeddings")
-    return binary_search.top_k(vectors, vectors.filter(f"vec_id % {EVERY} = 0"), BITS, NEIGHBOURS)
+    return binary_search.top_k(vectors, vectors.filter(f"vec_id % {EVERY} = 0"), NEIGHBOURS)

@@ -4,7 +4,7 @@ import datetime
 import random
 from collections import Counter
 
-from joinloom.llm.binary_search import top_k
+from joinloom.llm.binary_search import masks, top_k
 from joinloom.llm.chat import chat_format
 from joinloom.llm.line_dedup import deduplicated, line_dedup
 from joinloom.llm.url_filter import url_filter
@@ -108,16 +108,33 @@ def test_top_k(spark):
     for q in ask:
         near = sorted((sum(a != b for a, b in zip(bits[q], c)), i) for i, c in bits.items() if i != q)[:5]
         want += [(q, k, i, d) for k, (d, i) in enumerate(near, 1)]
-    got = top_k(df, df.filter(df.vec_id.isin(ask)), 32, 5).collect()
+    got = top_k(df, df.filter(df.vec_id.isin(ask)), 5).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     few = df.filter("vec_id IN (0, 1, 2)")
-    assert top_k(few, few, 32, 5).count() == 6
-    assert top_k(df.limit(0), df.limit(0), 32, 5).count() == 0
+    assert top_k(few, few, 5).count() == 6
+    assert top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
 def test_top_k_repeated_rows(spark):
     near, far = [1.0] * 16, [1.0] * 12 + [-1.0] * 4
     rows = [(1, near)] * 12 + [(2, near)] * 3 + [(i, near) for i in (3, 4)] + [(5, far), (6, far), (6, near)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = top_k(df, df.filter("vec_id IN (1, 5)"), 16, 3).collect()
+    got = top_k(df, df.filter("vec_id IN (1, 5)"), 3).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 2, 0), (1, 2, 3, 0), (1, 3, 4, 0), (5, 1, 6, 0), (5, 2, 1, 4), (5, 3, 2, 4)]
+
+
+def test_top_k_wide_and_masks(spark):
+    """Codes of an odd width, told apart only by their last numbers; all masks of a radius."""
+    r = random.Random(5)
+    rows = [(i, [1.0] * 60 + [r.choice([-1.0, 1.0]) for _ in range(37)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q in (0, 50):
+        near = sorted((sum((a > 0) != (b > 0) for a, b in zip(rows[q][1], v)), i) for i, v in rows if i != q)[:7]
+        want += [(q, k, i, d) for k, (d, i) in enumerate(near, 1)]
+    assert sorted(map(tuple, top_k(df, df.filter("vec_id % 50 = 0"), 7).collect())) == want
+    cut = top_k(df, df.filter("vec_id = 0"), 3, bits=60).collect()
+    assert sorted(map(tuple, cut)) == [(0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 3, 0)]
+    for radius in (0, 1, 3, 7):
+        got = spark.range(1).select(masks(7, radius).alias("m")).first().m
+        assert sorted(got) == [x for x in range(128) if x.bit_count() == radius]
