@@ -1,7 +1,8 @@
 """Exact top-k search in Hamming space by incremental multi-index hashing.
 
-A code is cut into m segments of about log2(codes) bits; every segment is indexed by its
-value.  Codes at distance d share, in some segment, a value within d // m bits.  A step
+A code is cut into m segments, so wide that a value of one is met by about 16 codes: a
+probe is a shuffled row and dearer than comparing that many codes.  Segments are indexed
+by value.  Codes at distance d share, in some segment, a value within d // m bits.  A step
 probes all values that differ from a query's segments in exactly r bits - in all segments
 while such values are few, then segment by segment - and verifies the new candidates'
 distances.  When a of the segments were searched to r bits and the others to r - 1, all
@@ -26,13 +27,15 @@ from joinloom.llm.workspace import Workspace
 
 #: Bits of a segment at most and at least.
 WIDEST, NARROWEST = 20, 4
+#: Codes that share a segment's value, as a power of two.
+SHARE = 4
 #: A step searches all segments while a segment has no more probes than this.
 TOGETHER = 600
 
 
 def segments(bits: int, codes: int) -> tuple[int, int]:
-    """How many segments a code has, and how wide they are, for about one code a value."""
-    wide = min(WIDEST, max(NARROWEST, (max(codes, 2) - 1).bit_length()))
+    """How many segments a code has, and how wide they are."""
+    wide = min(WIDEST, max(NARROWEST, (max(codes, 2) - 1).bit_length() - SHARE))
     m = -(-bits // wide)
     return m, -(-bits // m)
 
