@@ -230,6 +230,14 @@ def terms(values: np.ndarray, n: int) -> list[np.ndarray]:
     return [values[k : len(values) - n + 1 + k] * _PLACES[k] for k in range(n)]
 
 
+def covered(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and how much the spans of each cover; in order of key and start."""
+    of, which = np.unique(key, return_inverse=True)
+    far = which * (int(stop.max(initial=0)) + 1)  # so that no key's spans reach into the next one's
+    till = np.concatenate([[0], np.maximum.accumulate(stop + far)[:-1]])[: len(stop)]
+    return of, np.bincount(which, np.maximum(0, stop + far - np.maximum(start + far, till)), len(of))
+
+
 def counts(flags: np.ndarray, n: int) -> np.ndarray:
     """How many of each window's tokens are flagged."""
     sums = np.concatenate([[0], np.cumsum(flags)])
@@ -239,23 +247,44 @@ def counts(flags: np.ndarray, n: int) -> np.ndarray:
 class Table:
     """Windows by hash; most hashes that aren't there are told by their upper bits."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")
-        self.keys, self.item, self.at = h[order], item[order], at[order]
+    def __init__(self, h: np.ndarray, item: np.ndarray, at: np.ndarray, items: int):
+        order = np.lexsort((at, item, h))
+        self.keys, self.item, self.at, self.items = h[order], item[order], at[order], items
+        self.unique, which = np.unique(self.keys, return_inverse=True)
+        self.pair = which * items + self.item  # in order
         self.shift = U(64 - min(24, max(10, len(h).bit_length() + 7)))
         self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
         self.seen[h >> self.shift] = True
 
+    def _at(self, hashes: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.seen.take((hashes >> self.shift).view(np.int64)))
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which hashes meet which windows: their number, the item, its token."""
-        pos = np.flatnonzero(self.seen.take((hashes >> self.shift).view(np.int64)))
-        if not len(pos):
-            return pos, pos, pos
+        pos = self._at(hashes)
         low, high = (np.searchsorted(self.keys, hashes[pos], side) for side in ("left", "right"))
-        count = high - low
-        row = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(pos, count), self.item[row], self.at[row]
+        which, row = spread(low, high)
+        return pos[which], self.item[row], self.at[row]
+
+    def find_of(self, hashes: np.ndarray, owner: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``find``, but only windows of items wanted for the hash's text: owner is each
+        hash's text, wanted the sorted numbers text * items + item."""
+        pos = self._at(hashes)
+        low, high = (np.searchsorted(wanted, (owner[pos] + more) * self.items) for more in (0, 1))
+        which = np.minimum(np.searchsorted(self.unique, hashes[pos]), len(self.unique) - 1)
+        some = (high > low) & (self.unique[which] == hashes[pos])
+        pos, low, high, which = pos[some], low[some], high[some], which[some]
+        of, row = spread(low, high)
+        pos, pair = pos[of], which[of] * self.items + wanted[row] % self.items
+        of, row = spread(*(np.searchsorted(self.pair, pair, side) for side in ("left", "right")))
+        return pos[of], self.item[row], self.at[row]
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges low..high, and which range each is of."""
+    count = high - low
+    which = np.repeat(np.arange(len(low)), count)
+    return which, np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(which))
 
 
 class Index:
@@ -267,6 +296,9 @@ class Index:
     SHORT = -2
     #: Added to the gaps' key: marks are hashed too; nothing in the window is telling.
     DENSE, WEAK = 1 << 61, 1 << 60
+    #: A window in more items than this is looked up only for items of which another one
+    #: was found in the text; see ``_split``.
+    COMMON = 16
 
     def __init__(self, items: list[tuple[int, str]], s: Settings):
         self.s, self.ids, self.items = s, [], []
@@ -286,9 +318,40 @@ class Index:
             seen[key] = len(self.ids)
             self._add(stream(own, s.window), len(self.ids))
             self.ids.append([item])
-        self.tables = {n: {gaps: Table(parts) for gaps, parts in by.items()} for n, by in self.found.items()}
+        #: Where each item's tokens begin in these, and how many it has.
+        self.first = np.concatenate([[0], np.cumsum([len(x.begin) for x in self.items], dtype=int)])
+        self.begin, self.end = (np.concatenate([*(getattr(x, f) for x in self.items), np.empty(0, int)]) for f in ("begin", "end"))
+        self.size = np.array([x.plain_end for x in self.items], int)
+        self.tables = self._split({(n, gaps): tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for n, by in self.found.items() for gaps, parts in by.items()})
         del self.found
 
+    def _split(self, found: dict) -> dict[int, dict[int, tuple[Table | None, Table | None]]]:
+        """Each table's windows that are looked up in every text, and those that wait.
+
+        Windows in many items (a header that they share) would give each text that holds
+        them hits of all these.  If an item's such windows cover too little of it
+        together, it can't be found by them alone, so they wait for another hit."""
+        common = {}
+        for key, (h, _, _) in found.items():
+            _, which, count = np.unique(h, return_inverse=True, return_counts=True)
+            common[key] = count[which] > self.COMMON
+        spans = [(item[c], *self._span(item[c], at[c], key[0])) for key, (_, item, at) in found.items() if (c := common[key]).any()]
+        waits = np.ones(len(self.items), bool)
+        if spans:
+            item, start, stop = (np.concatenate(x) for x in zip(*spans, strict=True))
+            order = np.lexsort((start, item))
+            of, share = covered(item[order], start[order], stop[order])
+            waits[of] = share < self.s.covered * self.size[of]
+        out = defaultdict(dict)
+        for (n, gaps), (h, item, at) in found.items():
+            late = common[n, gaps] & waits[item]
+            out[n][gaps] = tuple(Table(h[x], item[x], at[x], len(self.items)) if x.any() else None for x in (~late, late))
+        return dict(out)
+
+    def _span(self, item: np.ndarray, at: np.ndarray, n: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The item's tokens that windows of n cover."""
+        return self.begin[self.first[item] + at], self.end[self.first[item] + at + n - 1]
+
     def _add(self, own: Stream, item: int) -> None:
         """Plain windows; templates with gaps at all capitalised words, or if these are
         too many at the names within sentences, or else with none; and, if there are
@@ -336,7 +399,12 @@ class Index:
     def search(self, texts: list[str]) -> list[dict[int, float]]:
         """For each text the items found in it and their covered share."""
         raw, out = tokens(texts), [{} for _ in texts]
-        t, hits = stream(raw, self.s.window), []
+        t, hits, waiting = stream(raw, self.s.window), [], []
+        owner = np.searchsorted(raw.first, t.begin, "right") - 1
+
+        def add(inside: np.ndarray, gaps: int, n: int, pos: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
+            hits.append(np.stack([pos, item, at, np.full(len(pos), gaps), np.full(len(pos), n)])[:, inside[pos]])
+
         for n, tables in self.tables.items():
             if len(t.plain) < n:
                 continue
@@ -345,19 +413,28 @@ class Index:
             whole = sum(parts)
             between = marked(t, n) if any(gaps >= self.DENSE or gaps == self.SHORT for gaps in tables) else U(0)
             dense = whole + between
-            for gaps, table in tables.items():
+            for gaps, (now, late) in tables.items():
                 if gaps < 0:
                     hashes = plain if gaps == self.PLAIN else plain + between
                 else:
                     hashes = gapped(parts, gaps, dense if gaps >= self.DENSE else whole)
-                pos, item, at = table.find(hashes)
-                if not len(pos):
-                    continue
-                kept = inside[pos]
-                hits.append(np.stack([pos, item, at, np.full(len(pos), gaps), np.full(len(pos), n)])[:, kept])
+                if now:
+                    add(inside, gaps, n, *now.find(hashes))
+                if late:
+                    waiting.append((late, hashes, inside, gaps, n))
+        if waiting and any(x.shape[1] for x in hits):
+            wanted = np.unique(np.concatenate([owner[x[0]] * len(self.items) + x[1] for x in hits]))
+            for late, hashes, inside, gaps, n in waiting:
+                add(inside, gaps, n, *late.find_of(hashes, owner, wanted))
         if not hits or not (hits := np.concatenate(hits, axis=1)).shape[1]:
             return out
-        text = np.searchsorted(raw.first, t.begin[hits[0]], "right") - 1
+        text = owner[hits[0]]
+        start, stop = self._span(hits[1], hits[2], hits[4])
+        pair = text * len(self.items) + hits[1]
+        order = np.lexsort((start, pair))
+        of, share = covered(pair[order], start[order], stop[order])
+        enough = np.isin(pair, of[share >= self.s.covered * self.size[of % len(self.items)]])
+        hits, text = hits[:, enough], text[enough]
         order = np.lexsort((t.begin[hits[0]], hits[1], text))
         hits, text = hits[:, order], text[order]
         edge = np.flatnonzero((np.diff(text, prepend=-1, append=-1) != 0) | (np.diff(hits[1], prepend=-1, append=-1) != 0))

@@ -125,3 +125,74 @@ def test_short_items_and_scripts_without_spaces(spark):
     ]
     assert search(spark, docs, items, Settings(short=True)) == {1: [1], 2: [], 3: [2], 4: [3], 5: [3], 6: [4], 7: [5], 8: [], 9: []}
     assert search(spark, docs, items) == {1: [], 2: [], 3: [], 4: [3], 5: [3], 6: [4], 7: [], 8: [], 9: []}
+
+
+def test_many_items_under_one_header():
+    """Texts that hold only the header of very many items meet none of them, in time that
+    follows texts and items, and those that hold an item are found."""
+    import time
+
+    from joinloom.llm.decontaminate import Index
+
+    r = random.Random(1)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    header = text(13)
+    items = [(i, f"{header} {text(80)}") for i in range(2000)]
+    short = [(5000 + i, f"{header} {text(3)}") for i in range(30)]  # the header alone is most of these
+    texts = [f"{text(30)} {header} {text(40)}" for _ in range(200)] + [f"{text(5)} {items[k][1]} {text(4)}" for k in (7, 1999)]
+    began = time.perf_counter()
+    got = Index(items, Settings()).search(texts)
+    assert time.perf_counter() - began < 30
+    assert got[:200] == [{}] * 200 and [set(x) for x in got[200:]] == [{7}, {1999}]
+    got = Index(items + short, Settings()).search(texts)
+    assert all(set(x) == {i for i, _ in short} for x in got[:200])
+    assert got[200].keys() - {i for i, _ in short} == {7}
+
+
+def brute_templates(text, item, window=8, covered=0.5):
+    """Plain loops, for words in lower case and numbers: windows with equal templates,
+    dealt on each diagonal to the first group that their slots agree with."""
+    t, w = text.split(), item.split()
+    n = min(window, len(w))
+    num = str.isdigit
+    same = lambda x, y: x == y or (num(x) and num(y))
+    one_to_one = lambda pairs: len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+    verbatim, groups = set(), {}
+    for p in range(len(t) - n + 1):
+        for a in range(len(w) - n + 1):
+            pair = list(zip(w[a : a + n], t[p : p + n]))
+            if not all(same(x, y) for x, y in pair):
+                continue
+            if all(x == y for x, y in pair):
+                verbatim.update(range(a, a + n))
+            slots = {(x, y) for x, y in pair if num(x)}
+            if one_to_one(slots):
+                of = groups.setdefault(p - a, [])
+                group = next((g for g in of if one_to_one(g[0] | slots)), None)
+                if group is None:
+                    of.append(group := [set(), set(), False])
+                group[0].update(slots)
+                group[1].update(range(a, a + n))
+                group[2] |= not all(num(x) for x, _ in pair)  # bare numbers alone tell nothing
+    best = max([len(verbatim), *(len(verbatim | g[1]) for of in groups.values() for g in of if g[2])])
+    return best >= covered * len(w)
+
+
+def test_templates_equal_brute_force():
+    from joinloom.llm.decontaminate import Index
+
+    r = random.Random(6)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(600)]
+    token = lambda: str(r.randint(2, 9)) if r.random() < 0.25 else r.choice(vocab)
+    items = [" ".join(token() for _ in range(r.randint(5, 30))) for _ in range(60)]
+    texts = []
+    for k in range(300):
+        w = r.choice(items).split()
+        new = dict(zip("23456789", r.sample(range(100, 999), 8)))
+        w = [str(new[x] if k % 3 else r.choice([new[x], r.randint(10, 99)])) if x in new else x for x in w]
+        a, b = (0, len(w)) if k % 2 else (r.randint(0, len(w) // 2), r.randint(len(w) // 2, len(w)))
+        texts.append(" ".join([token() for _ in range(9)] + w[a:b] + [token() for _ in range(9)]))
+    got = Index(list(enumerate(items)), Settings()).search(texts)
+    want = [{i for i, x in enumerate(items) if brute_templates(t, x)} for t in texts]
+    assert [set(x) for x in got] == want and 100 < sum(map(len, want)) < 295
