@@ -1,27 +1,31 @@
-"""Line-run deduplication from a truncated suffix array, in SQL functions only.
-
-A text is a sequence of line IDs (hashes of its lines that aren't blank).  Prefix
-doubling names the runs of 1, 2, 4, ... lines that begin at each line: the name of
-2k lines is made of the names of its halves, so equal runs have equal names.  Only
-whether two suffixes share a prefix of at least ``min_words`` words matters, hence
-suffixes are told apart no deeper than that: the run of the fewest lines with so many
-words, forwards from a line and backwards from it, gets the name of its two
-overlapping power-of-two halves.  The suffixes with one such name are an interval of
-the suffix array whose longest common prefix is that run or longer; each maximal
-repeated run is the union of such intervals' runs.  The first suffix of an interval
-(by doc_id and line) stays; the lines of the others are later copies and go.
+"""Line-run deduplication by a suffix array over line IDs, in SQL functions only.
+
+A text is a sequence of line IDs (128 bits of hash of each line that isn't blank).  The
+suffix array of all texts is made by distributed prefix doubling: a level's keys - line
+IDs, then pairs of ranks 1, 2, 4, ... lines apart - are counted, sorted over all machines,
+and a key's rank is the number of suffixes before it, which is where its interval begins
+in the array.  The suffixes in an interval of level j share their first 2^j lines.  A
+suffix alone in its interval shares no more with any other, so it has no rank from there on
+and is not sorted again; of lines, only stretches of ``min_words`` words or more in which
+each line occurs elsewhere take part.
+
+Longest common prefixes: two suffixes share m lines if they have equal ranks for the first
+2^j <= m of them and, m - 2^j lines on, for the last 2^j.  So the suffixes that share the
+fewest lines that have ``min_words`` words, forwards from a line or backwards from it, are
+one interval, named by two ranks; a maximal repeated run is the union of such intervals'
+runs, and doubling needs to go no deeper than ``min_words`` lines.  The first suffix of an
+interval (by doc_id and line) stays; the lines of the others are later copies and go.
 
 The unit is the whole line: a repeated passage that begins or ends inside lines counts only
 from its first whole common line to its last, and one inside a single line isn't found.
 
-Doubling happens inside each row's arrays, so no shuffle is needed for it.  Runs are
-written once, to the shared folder, and read twice; intervals are formed by an aggregation with partial sums and joined back: a run that a third of
-all texts hold is a skewed join key, never a group in one task.
+Keys are aggregated with partial sums and ranks joined back: a line or run that a third of
+all texts hold is a skewed join key, never a group in one task.  Sorting is of distinct keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joinloom.llm.workspace import Workspace
@@ -47,22 +51,53 @@ def _lifted(cum: Column, size: Column, i: Column, steps: list[int], words: int,
     return F.when(under + 1 <= room, under + 1).otherwise(0)
 
 
-def _runs(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, name, i, m: the deciding runs of each text, m lines from line i."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, r (its number among the text's lines that aren't blank), at (among all), a
+    and b (its ID), w (words)."""
     x = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("lines"))
-    x = x.select("doc_id", F.filter(F.transform("lines", lambda t, i: F.struct(F.trim(t).alias("t"), i.alias("at"))), lambda t: t["t"] != "").alias("lines"))
-    x = x.filter(F.size("lines") > 0).select(
-        "doc_id", F.transform("lines", lambda t: t["at"]).alias("at"),
-        F.transform("lines", lambda t: F.xxhash64(t["t"])).alias("n0"),
-        F.transform("lines", lambda t: _words(t["t"])).alias("w"), F.size("lines").alias("size"),
-    )
+    x = x.select("doc_id", F.posexplode(F.filter(F.transform("lines", lambda t, i: F.struct(F.trim(t).alias("t"), i.alias("at"))), lambda t: t["t"] != "")).alias("r", "l"))
+    return x.select("doc_id", "r", "l.at", F.xxhash64("l.t").alias("a"), F.xxhash64(F.lit("line"), "l.t").alias("b"), _words(F.col("l.t")).alias("w"))
+
+
+def _ranked(rows: DataFrame, key: list[str], work: Workspace) -> DataFrame:
+    """The keys that several rows have, with rank: how many rows have a smaller one of them."""
+    shared = rows.groupBy(*key).count().filter("count > 1")
+    shared = work.stage(shared.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "sorted")
+    until = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = shared.groupBy("part").agg(F.sum("count").alias("n")).select("part", F.coalesce(F.sum("n").over(until), F.lit(0)).alias("first"))
+    within = Window.partitionBy("part").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("first") + F.coalesce(F.sum("count").over(within), F.lit(0))
+    return shared.join(F.broadcast(parts), "part").select(*key, rank.alias("rank"))  # a row for each partition
+
+
+def _stretches(lines: DataFrame, words: int, work: Workspace) -> DataFrame:
+    """doc_id, s, r, at, w, n0: the lines that occur elsewhere and stand in a row of such
+    lines, s, with enough words.  n0: the rank of the line."""
+    ids = _ranked(lines, ["a", "b"], work)
+    own = lines.join(ids.withColumnRenamed("rank", "n0"), ["a", "b"])
+    # A set, as rows of one doc_id may be repeated.
+    x = own.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("r", "at", "w", "n0"))).alias("lines"))
+    x = x.select("doc_id", F.posexplode("lines").alias("i", "l")).select("doc_id", (F.col("l.r") - F.col("i")).alias("s"), "l.*")
+    return x.withColumn("all", F.sum("w").over(Window.partitionBy("doc_id", "s"))).filter(F.col("all") >= words).drop("all")
+
+
+def _runs(docs: DataFrame, words: int, work: Workspace) -> DataFrame:
+    """doc_id, x, y, m, i, last: the deciding runs of each text, m lines from line i to
+    ``last``; x and y: the ranks that name it.  Runs that no suffix shares are left out."""
+    lines = work.stage(_lines(docs), "lines")
+    rows = work.stage(_stretches(lines, words, work), "stretches")
+    work.release(lines)
+    levels = max(0, words.bit_length() - 1)  # a run has at least as many words as lines
+    for j in range(levels):
+        ahead = Window.partitionBy("doc_id", "s").orderBy("r").rangeBetween(1 << j, 1 << j)
+        rows = work.stage(rows.withColumn("then", F.max(f"n{j}").over(ahead)), f"pairs-{j}")
+        pairs = _ranked(rows.filter(f"n{j} IS NOT NULL AND then IS NOT NULL"), [f"n{j}", "then"], work)
+        rows = rows.join(pairs.withColumnRenamed("rank", f"n{j + 1}"), [f"n{j}", "then"], "left").drop("then")
+    names = [f"n{j}" for j in range(levels + 1)]
+    x = rows.groupBy("doc_id", "s").agg(F.array_sort(F.collect_list(F.struct("r", "at", "w", *names))).alias("l"))
+    x = x.select("doc_id", F.size("l").alias("size"), *[F.col("l")[c].alias(c) for c in ("at", "w", *names)])
     x = _with_sums(x)
-    levels = max(0, (words - 1).bit_length())
-    names = ["n0"]
-    for j in range(levels):  # a run has at least as many words as lines
-        x = x.withColumn(f"n{j + 1}", _doubled(names[-1], 1 << j))
-        names.append(f"n{j + 1}")
-    steps = [1 << j for j in reversed(range(levels))]
+    steps = [1 << j for j in reversed(range(levels + 1))]
     spans = F.transform(
         F.sequence(F.lit(0), F.col("size") - 1),
         lambda i: F.array(
@@ -75,15 +110,14 @@ def _runs(docs: DataFrame, words: int) -> DataFrame:
     x = x.withColumn("spans", spans)
     x = x.withColumn("spans", F.array_distinct(F.filter(F.flatten(both), lambda s: s["m"] > 0)))
 
-    def name(s: Column) -> Column:
+    def name(s: Column, on: Column | int) -> Column:
         out = F.lit(None).cast("long")
         for j, column in enumerate(names):
-            level = F.xxhash64(F.get(F.col(column), s["i"]), F.get(F.col(column), s["i"] + s["m"] - (1 << j)), s["m"])
-            out = F.when((s["m"] >= (1 << j)) & (s["m"] < (2 << j)), level).otherwise(out)
+            out = F.when((s["m"] >= (1 << j)) & (s["m"] < (2 << j)), F.get(F.col(column), s["i"] + on * (s["m"] - (1 << j)))).otherwise(out)
         return out
 
-    x = x.select("doc_id", F.explode(F.transform("spans", lambda s: F.struct(name(s).alias("name"), F.get(F.col("at"), s["i"]).alias("i"), F.get(F.col("at"), s["i"] + s["m"] - 1).alias("last"), s["m"].alias("m")))).alias("s"))
-    return x.select("doc_id", "s.*")
+    run = F.transform("spans", lambda s: F.struct(name(s, 0).alias("x"), name(s, 1).alias("y"), s["m"].alias("m"), F.get(F.col("at"), s["i"]).alias("i"), F.get(F.col("at"), s["i"] + s["m"] - 1).alias("last")))
+    return x.select("doc_id", F.explode(F.filter(run, lambda s: s["x"].isNotNull() & s["y"].isNotNull())).alias("s")).select("doc_id", "s.*")
 
 
 def _with_sums(x: DataFrame) -> DataFrame:
@@ -101,10 +135,6 @@ def _with_sums(x: DataFrame) -> DataFrame:
     return x.withColumn("cum", F.transform(at, lambda i: F.get(F.col("heads"), block(i)) + total(F.slice(w, block(i) * 64 + 1, (i % 64).cast("int"))))).drop("heads")
 
 
-def _doubled(names: str, half: int) -> Column:
-    return F.transform(names, lambda h, i: F.xxhash64(h, F.get(F.col(names), i + half)))
-
-
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with n_lines, n_removed and
     new_text: the text without lines that lie in a later copy of a run of lines of
@@ -114,14 +144,18 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     no part and stay.  The earliest copy, by doc_id and line, stays.  A null text has
     no lines: new_text null, counts 0.  Rows with a null doc_id are left as they are;
     rows with one doc_id are taken for the same text and all stay.  The three names
-    replace columns of those names.  Empty in, empty out.
+    replace columns of those names.  Empty in, empty out.  A text is one row of a task,
+    however long.
     """
-    key = F.col("doc_id").cast("long")
-    runs = Workspace(docs.sparkSession, "line-dedup").stage(_runs(docs.select(key.alias("doc_id"), "text"), min_words), "runs")
-    first = runs.groupBy("name", "m").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("name").alias("k"), F.col("m").alias("km"), "first")
-    late = runs.join(first, (F.col("name") == F.col("k")) & (F.col("m") == F.col("km"))).filter(F.struct("doc_id", "i") != F.col("first"))
-    gone = late.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.struct("i", "last")).alias("gone"))
-    gone = gone.select("gone_id", F.array_distinct(F.flatten(F.transform("gone", lambda s: F.sequence(s["i"], s["last"])))).alias("gone"))
+    key, work = F.col("doc_id").cast("long"), Workspace(docs.sparkSession, "line-dedup")
+    runs = work.stage(_runs(docs.select(key.alias("doc_id"), "text"), min_words, work), "runs")
+    first = runs.groupBy("x", "y", "m").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    late = runs.join(first.drop("n"), ["x", "y", "m"]).filter(F.struct("doc_id", "i") != F.col("first")).select("doc_id", "i", "last")
+    # Each line once, however many runs it is in.
+    before = Window.partitionBy("doc_id").orderBy("i", "last").rowsBetween(Window.unboundedPreceding, -1)
+    late = late.withColumn("i", F.greatest("i", F.coalesce(F.max("last").over(before) + 1, F.lit(0)))).filter("i <= last")
+    gone = late.groupBy(F.col("doc_id").alias("gone_id")).agg(F.flatten(F.collect_list(F.sequence("i", "last"))).alias("gone"))
+    gone = work.result(gone)
     x = docs.drop("n_lines", "n_removed", "new_text").join(gone, key == F.col("gone_id"), "left").drop("gone_id")
     x = x.withColumn("__lines", F.split("text", "\n", -1))  # after the join: texts are moved once
     # Blank lines between the lines of a run stay.
