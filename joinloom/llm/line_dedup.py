@@ -156,7 +156,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     late = late.withColumn("i", F.greatest("i", F.coalesce(F.max("last").over(before) + 1, F.lit(0)))).filter("i <= last")
     gone = late.groupBy(F.col("doc_id").alias("gone_id")).agg(F.flatten(F.collect_list(F.sequence("i", "last"))).alias("gone"))
     gone = work.result(gone)
-    x = docs.drop("n_lines", "n_removed", "new_text").join(gone, key == F.col("gone_id"), "left").drop("gone_id")
+    x = docs.drop("n_lines", "n_removed", "new_text").join(gone.hint("merge"), key == F.col("gone_id"), "left").drop("gone_id")
     x = x.withColumn("__lines", F.split("text", "\n", -1))  # after the join: texts are moved once
     # Blank lines between the lines of a run stay.
     removed = F.filter(F.col("gone"), lambda i: F.trim(F.get(F.col("__lines"), i)) != "")
