@@ -2,8 +2,8 @@
 
 Each text becomes a short vector of statistics.  Cosines of random projections of
 the standardised vector approximate a Gaussian kernel.  Every partition sums its
-normal equations; their sums are of a fixed size, so fitting takes all labelled
-rows.  Isotonic regression on rows that the fit has not seen turns ridge scores into
+normal equations, whose rows are added up by number, each of a fixed size and one at a
+time, so fitting takes all labelled rows.  Isotonic regression on rows that the fit has not seen turns ridge scores into
 probabilities.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,10 +170,14 @@ def _rows(batches):
             yield np.array(b.column("x").to_pylist(), float).reshape(b.num_rows, -1), b.column("y").to_numpy(zero_copy_only=False).astype(float)
 
 
+def _numbered(total: np.ndarray, at) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array([total[i].tobytes() for i in at], pa.binary())], ["row", "sums"])
+
+
 def fit(stats: DataFrame, labels: DataFrame, s: Settings = Settings(), modulus: int = 4, held_out: int = 2) -> Model:
     """From labelled rows (doc_id, quality 0/1; others are skipped) outside the fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
-    known = known.filter(F.pmod(crc(F.col("doc_id")), F.lit(modulus)) != held_out).dropDuplicates(["doc_id"])
+    known = known.filter(F.pmod(crc(F.col("doc_id")), F.lit(modulus)) != held_out).groupBy("doc_id").agg(F.min("y").alias("y"))
     rows = stats.join(known, "doc_id").withColumn("calibrates", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
     width = range(len(STATS))
     moments = rows.select([F.avg(F.col("x")[i]) for i in width] + [F.stddev_pop(F.col("x")[i]) for i in width]).first()
@@ -184,18 +187,28 @@ def fit(stats: DataFrame, labels: DataFrame, s: Settings = Settings(), modulus:
     dims = s.features + 1
 
     def equations(batches):
-        total = np.zeros((dims, dims + 1))
+        total, some = np.zeros((dims, dims + 1)), False
         for x, y in _rows(batches):
             f = model.features(x)
             total += f.T @ np.hstack([f, y[:, None]])
-        yield pa.RecordBatch.from_arrays([pa.array([int(total[0, 0] * 1e6) % 16], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
+            some = True
+        if some:
+            yield _numbered(total, range(dims))
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sums": [sum(np.frombuffer(b) for b in pdf["sums"]).tobytes()]})
-
-    parts = rows.filter("NOT calibrates").select("x", "y").mapInArrow(equations, "part int, sums binary")
-    sums = parts.groupBy("part").applyInPandas(add, "sums binary").collect()  # at most 16 rows of a fixed size
-    total = sum(np.frombuffer(r.sums) for r in sums).reshape(dims, dims + 1)
+    def add(batches):
+        """Sums the partitions' rows of one number; a task holds one sum of each at a time."""
+        total, seen = np.zeros((dims, dims + 1)), np.zeros(dims, bool)
+        for b in batches:
+            at = b.column("row").to_numpy()
+            np.add.at(total, at, np.frombuffer(b"".join(b.column("sums").to_pylist())).reshape(len(at), -1))
+            seen[at] = True
+        if seen.any():
+            yield _numbered(total, np.flatnonzero(seen))
+
+    parts = rows.filter("NOT calibrates").select("x", "y").mapInArrow(equations, "row int, sums binary")
+    total = np.zeros((dims, dims + 1))
+    for r in parts.repartition("row").mapInArrow(add, "row int, sums binary").collect():  # dims rows of dims + 1 numbers
+        total[r.row] += np.frombuffer(r.sums)
     a = total[:, :dims]
     model.beta = np.linalg.solve(a + s.ridge * max(1.0, a[-1, -1]) / dims * np.eye(dims), total[:, dims])
 
@@ -215,8 +228,10 @@ def quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), thresh
 
     A null or empty text has statistics of zero and the score that these give.  A null
     doc_id stays null and is not held out; repeated rows are scored each.  Labelled
-    rows with a null or a value other than 0 and 1 teach nothing; without labelled
-    rows all scores are about 0.5.  No other columns are read.  Empty in, empty out.
+    rows with a null or a value other than 0 and 1 teach nothing, and of a doc_id with
+    both labels the 0 counts; without labelled rows all scores are about 0.5.  A text is
+    taken whole; a very long one is one row of a task.  No other columns are read.
+    Empty in, empty out.
     """
     stats = Workspace(docs.sparkSession, "quality").stage(document_statistics(docs), "statistics")
     shared = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, s, modulus, held_out))
