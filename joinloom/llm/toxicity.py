@@ -14,21 +14,24 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from joinloom.llm import arrays
 from joinloom.llm.arrays import U
+from joinloom.llm.workspace import Workspace
 
 
 @dataclass(frozen=True)
 class Settings:
     """``rows``: the most labelled rows that are trained on, those with the smallest
-    hash of doc_id.  A feature is used if one row in ``rarest``, at least two, has it
+    hash of doc_id, and of these only the first of which the feature numbers together
+    take ``bytes``.  A feature is used if one row in ``rarest``, at least two, has it
     (of at most eight).  ``positive``: weight of a row with label 1."""
 
     bits: int = 20
     rows: int = 16_000
+    bytes: int = 256 << 20
     epochs: int = 4
     alpha: float = 1.0
     beta: float = 1.0
@@ -91,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), mod
     s = settings
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
     known = known.filter(F.pmod(crc(F.col("doc_id")), F.lit(modulus)) != held_out)
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(s.rows).dropDuplicates(["doc_id"])
+    sample = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.rows)
 
     def extract(batches):
         for b in arrays.slices(batches):
@@ -104,7 +107,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), mod
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = text.join(F.broadcast(sample), "doc_id")  # at most s.rows rows of two numbers
-    rows = text.mapInArrow(extract, "doc_id long, y int, x binary")
+    rows = text.mapInArrow(extract, "doc_id long, y int, x binary").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    rows = Workspace(docs.sparkSession, "toxicity").stage(rows, "sample")
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.select("doc_id", F.coalesce(F.sum(F.octet_length("x")).over(so_far), F.lit(0)).alias("before"))  # at most s.rows rows
+    rows = rows.join(F.broadcast(first.filter(F.col("before") < s.bytes).select("doc_id")), "doc_id")
     dims = (1 << s.bits) + 1
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -173,7 +180,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
     A null or empty text has the bias's score.  A null doc_id stays null and is not
     held out; repeated rows are scored each.  Labelled rows with a null or a value
-    other than 0 and 1 teach nothing; without any labelled row all scores are 0.5.
-    No columns but doc_id and text are read.  Empty in, empty out.
+    other than 0 and 1 teach nothing, and of a doc_id with both labels the 0 counts; of
+    repeated rows of a doc_id one teaches.  Without any labelled row all scores are 0.5.
+    A text is taken whole; a very long one is one row of a task.  No columns but doc_id
+    and text are read.  Empty in, empty out.
     """
     return score(docs, fit(docs, labels, settings), settings)

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from joinloom.llm.quality import isotonic, quality, statistics
+from joinloom.llm import quality as quality_module
+from joinloom.llm import toxicity as toxicity_module
+from joinloom.llm.quality import STATS, document_statistics, isotonic, quality, statistics
 from joinloom.llm.toxicity import Settings, features, toxicity, without_toxic
 
 SF = "/root/testdata/sf0.01"
@@ -63,3 +65,77 @@ def test_statistics():
 def test_isotonic():
     x, y = isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 2, 1, 3]), np.array([1.0, 2, 2, 3]))
     assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1 and len(x) == 3
+
+
+def test_ftrl_equals_plain_loop(spark):
+    """Weights against FTRL-proximal one coordinate at a time, over the sample in its order."""
+    r = np.random.default_rng(3)
+    vocab = [f"v{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choice(vocab, 12)) + (" you scum" if i % 4 == 0 else ""), None, None, 0, 0, 0) for i in range(120)]
+    labels = [(i, 1, int(i % 4 == 0), "") for i in range(120)] + [(7, 1, 1, ""), (7, 1, 0, "")]
+    s = Settings(bits=14, rows=60, epochs=3, l1=0.5)
+    at, w, bias = toxicity_module.fit(spark.createDataFrame(rows + rows[:5], DOCS), spark.createDataFrame(labels, LABELS), s)
+    known = spark.createDataFrame([(i,) for i in range(120) if zlib.crc32(str(i).encode()) % 5], "doc_id long")
+    chosen = [x.doc_id for x in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(60).collect()]
+    mixed = toxicity_module.arrays.mix(np.array(chosen, np.int64).view(np.uint64))
+    chosen = [i for _, i in sorted(zip(mixed.tolist(), chosen))]
+    sets = {i: set(features([rows[i][1]], s.bits)[0].tolist()) for i in chosen}
+    held = {x: sum(x in f for f in sets.values()) for f in sets.values() for x in f}
+    z, n = {}, {}
+
+    def weight(x):
+        if x != "bias" and abs(z.get(x, 0.0)) <= s.l1:
+            return 0.0
+        l1 = 0.0 if x == "bias" else s.l1
+        zx = z.get(x, 0.0)
+        return (np.sign(zx) * l1 - zx) / ((s.beta + np.sqrt(n.get(x, 0.0))) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for i in chosen:
+            xs = [x for x in sets[i] if held[x] >= 2] + ["bias"]
+            p = 1 / (1 + np.exp(-sum(weight(x) for x in xs)))
+            y = int(i % 4 == 0)
+            g = (p - y) * (s.positive if y else 1.0)
+            old = {x: weight(x) for x in xs}
+            for x in xs:
+                before = n.get(x, 0.0)
+                n[x] = before + g * g
+                z[x] = z.get(x, 0.0) + g - (np.sqrt(n[x]) - np.sqrt(before)) / s.alpha * old[x]
+    want = {x: weight(x) for x in z if x != "bias" and weight(x)}
+    assert set(at.tolist()) == set(want) and len(want) > 5
+    assert np.allclose([want[x] for x in at.tolist()], w) and np.isclose(bias, weight("bias"))
+
+
+def test_sample_bytes_are_bounded(spark):
+    rows = [(i, f"good w{i} " * 50, None, None, 0, 0, 0) for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, i % 2, "") for i in range(100)], LABELS)
+    docs = spark.createDataFrame(rows, DOCS)
+    none = toxicity_module.fit(docs, labels, Settings(bytes=0))
+    assert len(none[0]) == 0 and none[2] == 0.0
+
+
+def test_equations_equal_plain_loop(spark):
+    """Random Fourier features, their normal equations and ridge weights, row by row."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    s = quality_module.Settings(features=8, ridge=0.01)
+    stats = document_statistics(docs).cache()
+    model = quality_module.fit(stats, labels, s)
+    used = stats.join(labels, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(5))).collect()
+    used = [r for r in used if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    x = np.array([r.x for r in used])
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    a, b = [[0.0] * 9 for _ in range(9)], [0.0] * 9
+    for r in used:
+        if r.part == 0:
+            continue
+        z = [min(8, max(-8, (v - m) / (d if d > 1e-9 else 1))) for v, m, d in zip(r.x, mean, sd)]
+        f = [np.cos(sum(z[i] * model.omega[i][k] for i in range(len(STATS))) + model.phase[k]) * np.sqrt(2 / 8) for k in range(8)] + [1.0]
+        for i in range(9):
+            b[i] += f[i] * r.quality
+            for j in range(9):
+                a[i][j] += f[i] * f[j]
+    rows = a[8][8]
+    beta = np.linalg.solve(np.array(a) + s.ridge * max(1.0, rows) / 9 * np.eye(9), np.array(b))
+    assert rows > 30 and np.allclose(beta, model.beta)
+    assert (np.diff(model.values) >= 0).all()
