@@ -66,13 +66,19 @@ def test_chat(spark):
     talk = [("user", "hi"), ("assistant", "hello"), ("user", "more"), (None, None)]
     rows = [(c, t, *talk[t], 0, 0) for c, n in ((1, 2), (2, 4), (3, 4), (4, 1), (None, 3)) for t in range(n)]
     rows += [(9, 0, "user", "hi", 0, 0), (9, 0, "user", "hi", 0, 0), (10, None, "user", "late", 0, 0)]
-    got = {r.conv_id: r for r in chat_format(spark.createDataFrame(rows, schema)).collect()}
+    chats = chat_format(spark.createDataFrame(rows, schema)).collect()
+    got = {r.conv_id: r for r in chats if r.conv_id is not None}
     assert set(got) == {2, 9, 10}
     assert got[2].chat == "<|user|>\nhi\n<|assistant|>\nhello\n<|user|>\nmore\n<|unknown|>\n\n" and got[2].n_turns == 4
     assert got[9].n_turns == 2
+    # Turns without a conversation: the first begins others, the rest stay, each once.
+    assert sorted((r.chat, r.n_turns) for r in chats if r.conv_id is None) == [("<|assistant|>\nhello\n", 1), ("<|user|>\nmore\n", 1)]
     assert chat_format(spark.createDataFrame([], schema)).count() == 0
-    alone = chat_format(spark.createDataFrame([(None, 1, "user", "x", 0, 0)], schema)).collect()
+    alone = chat_format(spark.createDataFrame([(None, 1, "user", "x", 0, 0)] * 3, schema)).collect()
     assert [tuple(r) for r in alone] == [(None, 1, "<|user|>\nx\n")]
+    long = "word " * 200_000
+    many = chat_format(spark.createDataFrame([(1, k, "user", long if k == 2 else f"t{k}", 0, 0) for k in range(3000)], schema)).collect()
+    assert [(r.conv_id, r.n_turns) for r in many] == [(1, 3000)] and long in many[0].chat
 
 
 def test_url_filter(spark):
@@ -95,6 +101,9 @@ def test_url_filter(spark):
     none = spark.createDataFrame([], "entry_id long, key string, action string, dated date")
     assert not any(r.blocked for r in url_filter(df, none).collect())
     assert url_filter(df.limit(0), none).count() == 0
+    long = "http://bad.org/" + "p/" * 20_000
+    one = spark.createDataFrame([(1, long, day(12), False, "")], "page_id long, url string, fetched date, blocked boolean, key string")
+    assert url_filter(one, spark.createDataFrame(entries, "entry_id long, key string, action string, dated date")).first().blocked
 
 
 def test_top_k(spark):
