@@ -1,24 +1,30 @@
 """Packing into sequences that each hold the sources in target proportions.
 
-Each source is a queue of documents, laid end to end as one token stream; sources
-too small for ``min_quota`` tokens a sequence share one queue, the pool, in which each
-still has its own: by deficits that accumulate over windows, a source gives ``min_quota``
-tokens whenever its share of the pool makes them due.  Deficit round-robin
-visits the queues once per window (a sequence): queue s is due w * size * p_s tokens
-after w windows, takes what it is due in whole tokens, and carries the rest - its
-deficit, always under one token - on.  Whole tokens that a window has left go to the
-queues with the largest deficits.  With p_s the source's share of all tokens, every
-window is full but the last and all queues run dry together.
-
-The carried deficits have a closed form, so a task finds the state at its first
-window by itself: windows are filled in parallel, and no state passes between
-partitions except where each bucket of a queue begins.
+Each source is a queue of documents, laid end to end as one token stream.  Targets are
+weights; by default the sources' shares of all tokens, so that all queues run dry
+together.  Deficit round-robin visits the queues once per window (a sequence): with a
+share p_s of the weights, queue s is due size * p_s tokens more after each window, takes
+what it is due in whole tokens, and carries the rest - its deficit, always under one
+token - on.  Whole tokens that a window has left go to the queues with the largest
+deficits.  When a queue with more weight than tokens runs dry, the others share what it
+was due by their weights.  Every window is full but the last.
+
+Sources due under ``min_quota`` tokens a sequence share one queue, the pool, with the sum
+of their weights; in it each still has a queue: by deficits that accumulate over windows,
+a source gives ``min_quota`` tokens whenever its share of the pool makes them due, so that
+together they keep to their shares of the pool's tokens.
+
+The carried deficits have a closed form, linear between the points where a queue runs
+dry, so a task finds the state at its first window by itself: windows are filled in
+parallel, and no state passes between partitions except where each bucket of a queue begins.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
 import numpy as np
 import pandas as pd
@@ -31,41 +37,62 @@ from joinloom.llm.workspace import Workspace
 
 #: Tokens of a bucket of a queue: what one task holds at a time, besides one long text.
 BUCKET = 1 << 20
-#: Least tokens a sequence for a queue of its own; at most size / MIN_QUOTA queues.
+#: Least tokens due a sequence for a queue of its own; at most size / MIN_QUOTA queues.
 MIN_QUOTA = 16
 
 
-@dataclass(frozen=True)
 class Mixture:
-    """Queues' total tokens, in their order within a window."""
-
-    totals: tuple[int, ...]
-    size: int
-
-    @property
-    def total(self) -> int:
-        return sum(self.totals)
+    """Queues' total tokens and weights, in their order within a window."""
+
+    def __init__(self, totals: tuple[int, ...], size: int, weights: tuple[Fraction, ...] | None = None):
+        self.totals, self.size, self.total = totals, size, sum(totals)
+        weights = weights or tuple(map(Fraction, totals))
+        #: (start, base, rate, unit): from start tokens of all on, a queue has given
+        #: (base + rate * tokens) / unit.
+        self.phases: list[tuple[Fraction, list[int], list[int], int]] = []
+        given, start = [Fraction(0)] * len(totals), Fraction(0)
+        while left := [s for s, n in enumerate(totals) if given[s] < n]:
+            of = sum(weights[s] for s in left)
+            rate = [weights[s] / of if s in left else Fraction(0) for s in range(len(totals))]
+            base = [g - start * r for g, r in zip(given, rate, strict=True)]
+            unit = lcm(*(x.denominator for x in (*base, *rate)))
+            self.phases.append((start, [int(x * unit) for x in base], [int(x * unit) for x in rate], unit))
+            step = min((totals[s] - given[s]) / rate[s] for s in left)
+            given = [g + step * r for g, r in zip(given, rate, strict=True)]
+            start += step
 
     def taken(self, w: np.ndarray) -> np.ndarray:
         """Tokens that each queue has given before each window w: len(w) x queues."""
-        total = self.total
-        kind = np.int64 if total * total < 2**62 else object
-        due = np.minimum(w.astype(kind) * self.size, total)
-        exact = due[:, None] * np.array(self.totals, kind)[None, :]
-        whole, rest = exact // total, exact % total
-        left = (due - whole.sum(axis=1)).astype(np.int64)
+        due = np.minimum(w.astype(object) * self.size, self.total)
+        phase = np.searchsorted(np.array([-(-p[0].numerator // p[0].denominator) for p in self.phases], object), due, "right") - 1
+        whole, rest = np.empty((len(w), len(self.totals)), np.int64), np.empty((len(w), len(self.totals)))
+        for k in np.unique(phase).tolist():
+            _, base, rate, unit = self.phases[k]
+            at = np.flatnonzero(phase == k)
+            small = unit * self.total < 2**62 and max(map(abs, base)) < 2**62
+            exact = due[at].astype(np.int64 if small else object)[:, None] * np.array(rate, np.int64 if small else object) + np.array(base, np.int64 if small else object)
+            whole[at] = exact // unit
+            rest[at] = (exact % unit / unit).astype(float)
+        left = due.astype(np.int64) - whole.sum(axis=1)
         order = np.argsort(-rest, axis=1, kind="stable")
         rank = np.empty(order.shape, np.int64)
         np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(self.totals)), order.shape), axis=1)
-        return whole.astype(np.int64) + (rank < left[:, None])
+        return whole + (rank < left[:, None])
+
+    def _when(self, queue: int, tokens: int) -> Fraction:
+        """How many tokens all have given when a queue has given so many."""
+        for k, (start, base, rate, unit) in enumerate(self.phases):
+            end = self.phases[k + 1][0] if k + 1 < len(self.phases) else Fraction(self.total)
+            if rate[queue] and base[queue] + rate[queue] * end >= tokens * unit:
+                return max(start, Fraction(tokens * unit - base[queue], rate[queue]))
+        return Fraction(self.total)
 
     def windows(self, queue: int, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The windows that hold tokens begin..end of a queue: their numbers, where in
         the queue each begins, and at which offset of the window."""
-        rate = self.size * self.totals[queue]
         last = -(-self.total // self.size)
-        first = max(0, begin * self.total // rate - 2)
-        w = np.arange(first, min(last, -(-end * self.total // rate) + 2) + 1)
+        first = max(0, int(self._when(queue, begin) / self.size) - 2)
+        w = np.arange(first, min(last, int(self._when(queue, end) / self.size) + 3) + 1)
         taken = self.taken(w)
         offset = np.diff(taken, axis=0)[:, :queue].sum(axis=1)
         return w[:-1], taken[:-1, queue], offset
@@ -99,7 +126,7 @@ def _quanta(t: DataFrame, sums: DataFrame, quantum: int, bucket: int) -> DataFra
     for the last), place (in the source), base (in the document), n and ids of each
     piece.  In order of due, every source has given its share, to a quantum."""
     x = t.join(sums.select("source", F.col("n").alias("of")), "source")
-    x = x.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("of") / bucket)))
+    x = x.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.ceil(F.col("of") / bucket)))
     parts = x.groupBy("source", "part").agg(F.sum("n").alias("held"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
@@ -118,42 +145,63 @@ def _quanta(t: DataFrame, sums: DataFrame, quantum: int, bucket: int) -> DataFra
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def pack(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: int = 1, bucket: int = BUCKET, min_quota: int = MIN_QUOTA) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: int = 1, bucket: int = BUCKET, min_quota: int = MIN_QUOTA, weights: Mapping[str, float] | None = None) -> DataFrame:
     """One row per piece of a document (doc_id, text, source): doc_id, start (the
     document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     A document is its ids, then ``end_id``; a null or empty text is that id alone.  A
-    null source is the source ''.  Documents of a queue follow each other by a hash
-    and doc_id, repeated rows by their ids; a null doc_id is kept as null.  All
-    sequences but the last are full, so only that one needs padding.  An empty table
-    gives no pieces.  Proportions are the sources' shares of all tokens; others can't
-    be asked for.  Columns other than the three are not read.
+    null source is the source ''.  Documents of a queue are dealt to its buckets by a hash
+    of doc_id and of their place in the table, so that rows of one doc_id, or of none, are
+    not one group; in a bucket they follow each other by doc_id, length and ids.  A null
+    doc_id is kept as null.  All sequences but the last are full, so only that one needs
+    padding.  An empty table gives no pieces.  Columns other than the three are not read.
+    A very long text is one row of a task.
+
+    weights: target proportions by source, positive numbers; a source that isn't named has
+    its share of all tokens (so 0.5 and 0.25 for two sources and nothing else are two to
+    one against each other).  Without weights all sources have their shares.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
-    t = work.stage(tokenized(docs, vocabulary, end_id), "tokens")
+    t = work.stage(tokenized(docs, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()), "tokens")
     sums = t.groupBy("source").agg(F.sum("n").alias("n"))
     total = sums.agg(F.sum("n")).first()[0] or 0
     if total == 0:
         return spark.createDataFrame([], SCHEMA)
-    large = sums.filter(F.col("n") * size >= min_quota * total).orderBy("source").collect()  # at most size / min_quota
-    names, totals = [r.source for r in large], [r.n for r in large]
+    given = {k: Fraction(v).limit_denominator(10**6) for k, v in (weights or {}).items()}
+    if any(v <= 0 for v in given.values()):
+        raise ValueError("weights must be positive")
+    named = sums.filter(F.col("source").isin(list(given))).collect() if given else []  # at most len(weights)
+    share = {r.source: given[r.source] for r in named}
+    unnamed = total - sum(r.n for r in named)
+    of = sum(share.values()) + Fraction(unnamed, total)  # of all weights
+    least = int(of * min_quota * total / size)
+    rest = sums.filter((F.col("n") > least) & ~F.col("source").isin(list(given))).collect()  # at most size / min_quota
+    share |= {r.source: Fraction(r.n, total) for r in rest}
+    large = sorted((r for r in [*named, *rest] if share[r.source] * size >= min_quota * of), key=lambda r: r.source)
+    names, totals, parts = [r.source for r in large], [r.n for r in large], [share[r.source] for r in large]
     rest = total - sum(totals)
-    while rest and totals and rest * size < min_quota * total:  # too little for a pool: with the smallest that has a queue
-        least = int(np.argmin(totals))
-        rest += totals.pop(least)
-        names.pop(least)
+
+    def weight_of_rest() -> Fraction:
+        return of - sum(parts)
+
+    while rest and totals and weight_of_rest() * size < min_quota * of:  # too little for a pool: with the smallest that has a queue
+        k = parts.index(min(parts))
+        rest += totals.pop(k)
+        names.pop(k)
+        parts.pop(k)
     if rest:
+        parts.append(weight_of_rest())
         totals.append(rest)
     pool = len(names)
-    mixture = Mixture(tuple(totals), size)
+    mixture = Mixture(tuple(totals), size, tuple(parts))
 
     queues = spark.createDataFrame([(s, i) for i, s in enumerate(names)] or [("", 0)], "source string, queue int")
     buckets = F.lit(None)
     for i, n in enumerate(totals):
         buckets = F.when(F.col("queue") == i, F.lit(-(-n // bucket))).otherwise(buckets)
     q = t.join(F.broadcast(queues), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(pool)))
-    q = q.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), buckets.cast("long")))
+    q = q.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), buckets.cast("long")))
     q = q.select("queue", "bucket", F.lit(0.0).alias("due"), F.lit(0).cast("long").alias("place"), "doc_id", "source", "n", "ids", F.lit(0).cast("long").alias("base"), F.col("n").alias("doc_tokens"))
     if rest:
         pooled = _quanta(t.join(F.broadcast(queues), "source", "left_anti"), sums, min_quota, bucket)

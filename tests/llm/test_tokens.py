@@ -1,5 +1,7 @@
 import random
 import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -122,3 +124,55 @@ def test_many_small_sources_keep_their_shares(spark):
         for w in sorted(spans):
             given += held.get((w, source), 0)
             assert abs(given - n * min(256 * (w + 1), total) / total) <= 40, (source, w)
+
+
+@pytest.mark.parametrize("weights", [None, (1, 1, 1, 1), (5, 1, 3, 2), (1, 7, 1, 1)])
+def test_mixture_equals_queue_walk(weights):
+    """The closed form against deficit round-robin, queue by queue and window by window."""
+    totals, size = (9000, 2500, 700, 5200), 256
+    share = [Fraction(x) for x in weights or totals]
+    m = Mixture(totals, size, tuple(share))
+    given, deficit, held, want = [0] * 4, [Fraction(0)] * 4, [Fraction(n) for n in totals], [[0] * 4]
+    while sum(given) < sum(totals):
+        window = min(size, sum(totals) - sum(given))
+        while window > 0:  # what queues are due; those that run dry leave the rest to the others
+            live = [s for s in range(4) if held[s] > 0]
+            of = sum(share[s] for s in live)
+            part = min([Fraction(window), *(held[s] * of / share[s] for s in live)])
+            for s in live:
+                deficit[s] += part * share[s] / of
+                held[s] -= part * share[s] / of
+            window -= part
+        left = min(size, sum(totals) - sum(given))
+        for s in range(4):
+            whole = int(deficit[s])
+            given[s], deficit[s], left = given[s] + whole, deficit[s] - whole, left - whole
+        for s in sorted(range(4), key=lambda s: -deficit[s])[:left]:
+            given[s], deficit[s] = given[s] + 1, deficit[s] - 1
+        want.append(list(given))
+    assert m.taken(np.arange(len(want))).tolist() == want
+    for queue in range(4):
+        at = [x[queue] for x in want]
+        for begin, end in ((0, totals[queue]), (13, 14), (totals[queue] // 2, totals[queue])):
+            w, start, _ = m.windows(queue, begin, end)
+            need = [k for k in range(len(at) - 1) if at[k] < end and at[k + 1] > begin]
+            assert set(need) <= set(w.tolist()) and len(w) <= len(need) + 6 + sum(a == b for a, b in zip(at, at[1:]))
+            assert [at[k] for k in w] == start.tolist()
+
+
+def test_target_weights(spark, library):
+    r = random.Random(4)
+    data = [(k if k % 7 else None, " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(40)), "abc"[k % 3]) for k in range(400)] + [(3, "same text", "a")] * 30
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = pack(df, PATH, size=256, bucket=900, weights={"a": 0.6, "b": 0.3, "c": 0.1}).collect()
+    assert sum(x.length for x in got) == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in data)
+    held = defaultdict(Counter)
+    for x in got:
+        held[x.sequence_id][x.source] += x.length
+    full = [c for _, c in sorted(held.items())][:-1]
+    assert all(sum(c.values()) == 256 for c in full)
+    first = sum(full[:10], Counter())
+    assert abs(first["a"] - 0.6 * 2560) <= 1 and abs(first["b"] - 0.3 * 2560) <= 1 and abs(first["c"] - 0.1 * 2560) <= 1
+    assert set(full[-1]) == {"c"}  # the others ran dry
+    with pytest.raises(ValueError):
+        pack(df, PATH, weights={"a": 0})
