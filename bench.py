@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from joinloom.plans.strategy import tune
 from joinloom.queries import QUERIES
 
 
@@ -15,10 +16,11 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("BENCH_TUNE"):  # else the library's defaults
+        tune(spark)
     took = {}
     for name in sorted(QUERIES):
         times = []

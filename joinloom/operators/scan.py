@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from joinloom.plans.refs import LateRef
+
 
 def scan(table, attrs, deferred: set[int], uid: int) -> tuple[DataFrame, list]:
     """Only the projected columns are selected, so a Parquet scan reads no others.
@@ -11,8 +13,6 @@ def scan(table, attrs, deferred: set[int], uid: int) -> tuple[DataFrame, list]:
     Column names carry ``uid``, which differs for each use of a node, so one
     table scanned twice never gives ambiguous references.
     """
-    from joinloom.plans.late import LateRef
-
     fields, ref = table.df.columns, f"n{uid}_ref"
     columns, outs = [], []
     for pos, (i, _) in enumerate(attrs):
@@ -24,3 +24,10 @@ def scan(table, attrs, deferred: set[int], uid: int) -> tuple[DataFrame, list]:
     if deferred:
         columns.append(table.df[fields[table.primary_key]].alias(ref))
     return table.df.select(*columns), outs
+
+
+def renamed(df: DataFrame, outs: list, uid: int) -> tuple[DataFrame, list]:
+    """The same rows with names that carry ``uid``, for one more use of a node."""
+    new = {c: f"n{uid}_c{k}" for k, c in enumerate(df.columns)}
+    outs = [LateRef(new[o.ref], o.table, o.column) if isinstance(o, LateRef) else new[o] for o in outs]
+    return df.select(*[df[c].alias(n) for c, n in new.items()]), outs

@@ -8,23 +8,13 @@ are wide and the joins shuffle or multiply rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 
-from joinloom.plans.plan import Plan, ScanNode, TableInput
+from joinloom.plans.plan import Plan, ScanNode
+from joinloom.plans.refs import LateRef
 from joinloom.types import DataType
 
 
-@dataclass(frozen=True)
-class LateRef:
-    """A string to be fetched: by the reference column ``ref``, column ``column`` of ``table``."""
-
-    ref: str
-    table: TableInput
-    column: int
-
-
 class LateStrings:
     def __init__(self, plan: Plan):
         self.plan = plan

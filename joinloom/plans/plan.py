@@ -67,27 +67,41 @@ class Plan:
         """Raises PlanError (indices, cycles) or PlanTypeError (types)."""
         if not self.nodes:
             raise PlanError("the plan has no nodes")
+        for idx in self.order():
+            self._check(idx)
+
+    def order(self) -> list[int]:
+        """The nodes under the root, each once, children first; raises on cycles."""
         self._check_index(self.root, "root")
-        done: set[int] = set()
-        self._visit(self.root, set(), done)
+        out, state, stack = [], {}, [self.root]
+        while stack:
+            idx = stack[-1]
+            if state.get(idx) == "done":
+                stack.pop()
+                continue
+            if state.get(idx) == "open":
+                state[idx] = "done"
+                out.append(stack.pop())
+                continue
+            state[idx] = "open"
+            data = self.nodes[idx].data
+            for child in () if isinstance(data, ScanNode) else (data.right, data.left):
+                self._check_index(child, f"child of node {idx}")
+                if state.get(child) == "open":
+                    raise PlanError(f"node {child} is its own ancestor")
+                stack.append(child)
+        return out
 
     def _check_index(self, idx: int, what: str) -> None:
         if not 0 <= idx < len(self.nodes):
             raise PlanError(f"{what}: node {idx} is not one of {len(self.nodes)} nodes")
 
-    def _visit(self, idx: int, above: set[int], done: set[int]) -> None:
-        if idx in above:
-            raise PlanError(f"node {idx} is its own ancestor")
-        if idx in done:
-            return
+    def _check(self, idx: int) -> None:
         node = self.nodes[idx]
         if isinstance(node.data, ScanNode):
             source = self._scan_types(idx, node.data)
         else:
             join = node.data
-            for child in (join.left, join.right):
-                self._check_index(child, f"child of node {idx}")
-                self._visit(child, above | {idx}, done)
             left, right = self.types(join.left), self.types(join.right)
             for attr, types, side in ((join.left_attr, left, "left"), (join.right_attr, right, "right")):
                 if not 0 <= attr < len(types):
@@ -100,7 +114,6 @@ class Plan:
                 raise PlanError(f"node {idx}: output {pos} takes column {attr} of {len(source)}")
             if source[attr] is not declared:
                 raise PlanTypeError(f"node {idx}: output {pos} is declared {declared.name}, its source is {getattr(source[attr], 'name', 'outside the model')}")
-        done.add(idx)
 
     def _scan_types(self, idx: int, scan: ScanNode) -> list[DataType | None]:
         if not 0 <= scan.base_table_id < len(self.inputs):

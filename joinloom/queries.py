@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from joinloom.plans.builder import Builder
 from joinloom.sources.catalog import Catalog
 
+#: Unique columns of the test tables that have one.
+PRIMARY_KEYS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
+    "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id",
+    "labels": "doc_id", "benchmark": "item_id",
+}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +23,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str):
     def register(f: Callable[[Builder], DataFrame]) -> Query:
-        QUERIES[name] = run = lambda spark, sf_dir: f(Builder(Catalog(spark, sf_dir)))
+        QUERIES[name] = run = lambda spark, sf_dir: f(Builder(Catalog(spark, sf_dir, PRIMARY_KEYS)))
         SQL[name] = sql
         return run
 

@@ -7,20 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from joinloom.plans.plan import TableInput
 from joinloom.types import DataType
 
-#: Unique columns of the tables that have one.
-PRIMARY_KEYS = {
-    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
-    "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id",
-    "labels": "doc_id", "benchmark": "item_id",
-}
-
 
 class Catalog:
-    """Tables by name; ``inputs`` gives them by ordinal in the order of first use."""
+    """Tables by name; ``inputs`` gives them by ordinal in the order of first use.
+
+    primary_keys: a unique, non-null column by table, for those that have one; only these
+    tables' strings can be materialised late."""
 
     def __init__(self, spark: SparkSession, directory: str, primary_keys: dict[str, str] | None = None):
         self.spark, self.directory = spark, directory.rstrip("/")
-        self.primary_keys = PRIMARY_KEYS if primary_keys is None else primary_keys
+        self.primary_keys = primary_keys or {}
         self.inputs: list[TableInput] = []
         self._ids: dict[str, int] = {}
 

@@ -27,8 +27,9 @@ class DataType(enum.Enum):
 
     @classmethod
     def of(cls, spark_type: T.DataType) -> "DataType | None":
-        """The plan type of a Spark type; None outside the model (e.g. timestamps)."""
-        return next((k for k, v in _SPARK.items() if type(v) is type(spark_type)), None)
+        """The plan type of a Spark type; None outside the model (e.g. timestamps, or
+        strings of a collation that doesn't compare byte by byte)."""
+        return next((k for k, v in _SPARK.items() if v == spark_type), None)
 
 
 _SPARK = {

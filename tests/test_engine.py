@@ -161,7 +161,7 @@ def test_random_plans(spark, data):
         nodes.append(plan.add_join(i, j, 0, 0, [(0, key), *[(r, kinds[r]) for r in rest]], data.draw(st.booleans())))
     plan.root = nodes[0]
     want = Counter(nested_loop(plan, tables, plan.root))
-    build = data.draw(st.sampled_from(["none", "auto", "plan", "shuffle_hash", "sort_merge"]))
+    build = data.draw(st.sampled_from(["auto", "plan", "shuffle_hash", "sort_merge"]))
     for strings in ("early", "late"):
         assert Counter(map(tuple, compile_plan(plan, build=build, strings=strings).collect())) == want
 
@@ -194,3 +194,110 @@ def test_scan_reads_only_projected_columns(spark):
 def test_semi_reduction(spark):
     a, b = spark.createDataFrame([(1,), (2,), (None,)], "a int"), spark.createDataFrame([(2,), (2,), (None,)], "b int")
     assert [r.a for r in semi_reduced(a, "a", b, "b").collect()] == [2]
+
+
+def test_collated_strings_are_outside_the_model(spark):
+    df = spark.createDataFrame([("a",)], T.StructType([T.StructField("x0", T.StringType("UTF8_LCASE"))]))
+    plan = Plan(inputs=[TableInput(df)])
+    plan.root = plan.add_scan(0, [(0, STR)])
+    with pytest.raises(PlanTypeError):
+        compile_plan(plan)
+
+
+def test_no_primary_keys_unless_given(spark, tmp_path):
+    from joinloom.plans.builder import Builder
+    from joinloom.sources.catalog import Catalog
+
+    spark.createDataFrame([(1, "a"), (1, "b")], "o_orderkey long, s string").write.parquet(f"{tmp_path}/orders.parquet")
+    b = Builder(Catalog(spark, str(tmp_path)))
+    rel = b.scan("orders", "o_orderkey", "s").join(b.scan("orders", "o_orderkey", "s"), "o_orderkey = o_orderkey", ["#0", "#1", "#3"])
+    assert rel.compile(["k", "s", "t"], strings="late").count() == 4
+
+
+def ladder(spark, n):
+    plan = Plan(inputs=[table(spark, [I32, STR], [(1, "a"), (2, "b")], 0)])
+    node = plan.add_scan(0, [(0, I32), (1, STR)])
+    for _ in range(n):
+        node = plan.add_join(node, node, 0, 0, [(0, I32), (3, STR)])
+    plan.root = node
+    return plan
+
+
+@pytest.mark.parametrize("strings", ["early", "late"])
+def test_shared_nodes_are_compiled_once(spark, strings, tmp_path):
+    want = [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, compile_plan(ladder(spark, 3), strings=strings).collect())) == want
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    assert sorted(map(tuple, compile_plan(ladder(spark, 8), strings=strings, shared="checkpoint").collect())) == want
+
+
+def test_deep_plans_need_no_recursion(spark):
+    plan = Plan(inputs=[table(spark, [I32], [(1,)])])
+    node = plan.add_scan(0, [(0, I32)])
+    for _ in range(3000):
+        node = plan.add_join(node, plan.add_scan(0, [(0, I32)]), 0, 0, [(0, I32)])
+    plan.root = node
+    plan.validate()
+    assert len(plan.order()) == 6001
+
+
+def two_tables(spark, left, right, build_left=False):
+    plan = Plan(inputs=[TableInput(left), TableInput(right)])
+    a, b = plan.add_scan(0, [(0, I64), (1, I64)]), plan.add_scan(1, [(0, I64)])
+    plan.root = plan.add_join(a, b, 0, 0, [(0, I64), (1, I64)], build_left)
+    return plan
+
+
+def test_semi_reduction_in_a_plan(spark):
+    left, right = spark.range(1000).selectExpr("id % 100 AS k", "id AS v"), spark.range(40, 60).selectExpr("id AS k")
+    for build_left in (False, True):
+        plan = two_tables(spark, left, right, build_left)
+        got = compile_plan(plan, semi=True)
+        assert "LeftSemi" in explain(got) and "LeftSemi" not in explain(compile_plan(plan))
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, compile_plan(plan).collect()))
+
+
+def adaptive(spark, df, conf):
+    """Rows and final plan under other settings."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = df()
+        n = len(df.collect())
+        return n, df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_auto_builds_on_the_side_measured_to_fit(spark, tmp_path):
+    spark.range(40_000).selectExpr("id % 2000 AS k", "id AS v").write.parquet(f"{tmp_path}/l")
+    spark.range(2000).selectExpr("id AS k").write.parquet(f"{tmp_path}/r")
+    plan = lambda: compile_plan(two_tables(spark, spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r")))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}
+    n, shape = adaptive(spark, plan, conf | {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"})
+    assert n == 40_000 and "ShuffledHashJoin" in shape.split("Initial Plan")[0]
+    n, shape = adaptive(spark, plan, conf)
+    assert n == 40_000 and "SortMergeJoin" in shape.split("Initial Plan")[0]
+
+
+def test_skewed_shuffle_is_split(spark, tmp_path):
+    spark.range(200_000).selectExpr("IF(id % 10 < 9, 7, id) AS k", "id AS v").write.parquet(f"{tmp_path}/l")
+    spark.range(0, 200_000, 7).selectExpr("id AS k").unionByName(spark.range(200).selectExpr("7L AS k")).limit(30_000).write.parquet(f"{tmp_path}/r")
+    plan = lambda: compile_plan(two_tables(spark, spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r")), build="sort_merge").groupBy().agg({"c1": "sum"})
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "20"}
+    _, shape = adaptive(spark, plan, conf | {"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"})
+    assert "skew=true" in shape
+
+
+def test_write_result(spark, tmp_path):
+    from joinloom.sources.catalog import write_result
+
+    df = compile_plan(ladder(spark, 1))
+    write_result(df, f"{tmp_path}/out")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, "a"), (2, "b")]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        write_result(df, f"{tmp_path}/out")
+    write_result(df, f"{tmp_path}/out", mode="overwrite")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
