@@ -34,15 +34,31 @@ def normalized(url: Column) -> Column:
     return F.concat(_host(url), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1))
 
 
-def keys(url: Column) -> Column:
-    """All keys of a URL from the least to the most specific: ``d:`` host suffixes,
-    ``p:`` path prefixes, ``u:`` the URL.  Null and URLs without a host have none."""
+def keys(url: Column, labels: int, folders: int) -> Column:
+    """The keys of a URL from the least to the most specific: ``d:`` host suffixes of up
+    to so many labels, ``p:`` path prefixes of up to so many folders, ``u:`` the URL.
+    Null and URLs without a host have none."""
     host, path = _host(url), _path(url)
-    labels, parts = F.split(host, r"\."), F.split(path, "/")
-    n, m = F.size(labels), F.size(parts)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("d:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
-    prefixes = F.when(m > 1, F.transform(F.sequence(F.lit(1), m - 1), lambda k: F.concat(F.lit("p:"), host, F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
-    return F.when(host != "", F.concat(domains, prefixes, F.array(F.concat(F.lit("u:"), normalized(url))))).otherwise(F.array().cast("array<string>"))
+    names, parts = F.split(host, r"\."), F.split(path, "/")
+    n, m = F.size(names), F.size(parts)
+    none = F.array().cast("array<string>")
+
+    def up_to(last: Column, key) -> Column:
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), key)).otherwise(none)
+
+    domains = up_to(F.least(n, F.lit(labels)), lambda k: F.concat(F.lit("d:"), F.array_join(F.slice(names, n - k + 1, k), ".")))
+    prefixes = up_to(F.least(m - 1, F.lit(folders)), lambda k: F.concat(F.lit("p:"), host, F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))
+    return F.when(host != "", F.concat(domains, prefixes, F.array(F.concat(F.lit("u:"), normalized(url))))).otherwise(none)
+
+
+def _longest(entries: DataFrame) -> tuple[int, int]:
+    """Labels of the list's longest host suffix, and folders of its longest path prefix:
+    a URL's keys beyond these are in no entry, and all of a very long URL's would take
+    the square of its length."""
+    key = F.col("key")
+    labels = F.max(F.when(key.startswith("d:"), F.size(F.split(key, r"\."))))
+    folders = F.max(F.when(key.startswith("p:"), F.size(F.split(key, "/")) - 1))
+    return tuple(x or 0 for x in entries.agg(labels, folders).first())
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -62,13 +78,15 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     end the key's listing), dated.  blocked: whether the most specific key with an entry
     active on the day of ``fetched`` is blocked; matched_key is that key, null if none
     is active.  A null url or fetched matches nothing.  Repeated rows and ties give equal
-    results; every row is returned.  blocked and matched_key replace columns of those names.
+    results; every row is returned.  blocked and matched_key replace columns of those names.  Without
+    entries nothing is blocked; without captures there are no rows.  A url has keys
+    for as many of its folders and labels as the list's longest key has, however long it is.
     """
     captures = captures.drop("blocked", "matched_key")
     day = F.col("fetched").cast("date")
     pair = captures.select("url", day.alias("day")).filter("url IS NOT NULL AND day IS NOT NULL").distinct()
     first, last = pair.agg(F.min("day"), F.max("day")).first()
-    probe = pair.select("url", "day", F.posexplode(keys(F.col("url"))).alias("rank", "key"))
+    probe = pair.select("url", "day", F.posexplode(keys(F.col("url"), *_longest(entries))).alias("rank", "key"))
     probe = probe.withColumn("period", F.floor(F.unix_date("day") / PERIOD))
     held = intervals(entries).filter((F.col("since") <= F.lit(last)) & (F.col("until").isNull() | (F.col("until") > F.lit(first))))
     start, stop = F.greatest("since", F.lit(first)), F.least(F.coalesce(F.date_sub("until", 1), F.lit(last)), F.lit(last))

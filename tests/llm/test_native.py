@@ -101,9 +101,12 @@ def test_url_filter(spark):
     none = spark.createDataFrame([], "entry_id long, key string, action string, dated date")
     assert not any(r.blocked for r in url_filter(df, none).collect())
     assert url_filter(df.limit(0), none).count() == 0
-    long = "http://bad.org/" + "p/" * 20_000
-    one = spark.createDataFrame([(1, long, day(12), False, "")], "page_id long, url string, fetched date, blocked boolean, key string")
-    assert url_filter(one, spark.createDataFrame(entries, "entry_id long, key string, action string, dated date")).first().blocked
+    long = ["http://bad.org/" + "p/" * 300_000, "http://" + "a." * 300_000 + "bad.org/x", "http://other.org/" + "p/" * 300_000]
+    some = spark.createDataFrame([(i, u, day(12), False, "") for i, u in enumerate(long)], "page_id long, url string, fetched date, blocked boolean, key string")
+    listed = spark.createDataFrame(entries, "entry_id long, key string, action string, dated date")
+    assert {r.page_id: r.blocked for r in url_filter(some, listed).collect()} == {0: True, 1: True, 2: False}
+    deep = spark.createDataFrame([(1, "p:other.org/" + "p/" * 40, "block", day(0))], "entry_id long, key string, action string, dated date")
+    assert {r.page_id: r.blocked for r in url_filter(some, deep).collect()} == {0: False, 1: False, 2: True}
 
 
 def test_top_k(spark):
