@@ -581,7 +581,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(
     benchmark: item_id, text; items with a null id are not looked for, a null text is
     empty, and a text without a letter or digit is never found.  A null text holds nothing.  Rows with a null doc_id give one row together;
     repeated rows of a doc_id give one.  No other columns are read.  An empty benchmark
-    contaminates nothing; empty documents give an empty table.
+    contaminates nothing; empty documents give an empty table.  A text is searched whole; a
+    very long one is one row of a task.  Items with equal texts are each found.
     """
     found = None
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -610,7 +611,10 @@ def _search(keyed: DataFrame, block: list[tuple[int, str]], s: Settings) -> Data
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no item: one pass for each block."""
+    """The rows of ``docs``, with all columns, that hold no item: one pass for each block.
+
+    A row is judged by its own text, so a null doc_id or a repeated one changes nothing;
+    a null text holds nothing and stays.  Else as ``decontaminate``."""
     for block in _blocks(benchmark, s):
         docs = _clean(docs, docs.sparkSession.sparkContext.broadcast(Index(block, s)))
     return docs

@@ -17,7 +17,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     UTF-8 length, n_tokens what the ``tokenizers`` library gives for the whole text
     without added tokens; special strings in a text are one token each.  A null
     text is empty: 0 and 0.  A null doc_id stays null; repeated rows are counted
-    each; other columns are not read; an empty table gives an empty one.
+    each; other columns are not read; an empty table gives an empty one.  A text is
+    counted whole; a very long one is one row of a task.
     """
 
     def run(batches):

@@ -47,6 +47,11 @@ def test_without_toxic_keeps_columns(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0), "") for i in range(300)], LABELS)
     kept = without_toxic(docs, labels, Settings(rows=200, l1=1.0))
     assert kept.dtypes == docs.dtypes and {r.doc_id for r in kept.collect()} == {i for i in range(300) if i % 3}
+    odd = [(None, "you scum you scum"), (None, "good day"), (7, None), (7, None), (8, ""), (9, "good " * 60000), (9, "you scum you scum")]
+    more = docs.unionByName(spark.createDataFrame([(i, t, None, None, 0, 0, 0) for i, t in odd], DOCS).withColumn("y", F.lit(5)))
+    kept = without_toxic(more, labels, Settings(rows=200, l1=1.0)).filter("y = 5").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([x for x in odd if "scum" not in (x[1] or "")], key=str)
+    assert without_toxic(docs.limit(0), labels).count() == 0
 
 
 def test_features_are_words_pairs_and_skips():

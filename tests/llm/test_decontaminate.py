@@ -79,6 +79,13 @@ def test_edges(spark):
     assert search(spark, [(1, ITEM), (None, ITEM)], []) == {1: [], None: []}
     assert search(spark, [(1, ITEM), (1, ITEM), (None, "z")], [(4, ITEM), (3, ITEM)]) == {1: [3, 4], None: []}
     assert search(spark, [(1, "pad " * 40000 + ITEM)], [(4, ITEM)]) == {1: [4]}
+    rows = [(None, ITEM), (None, None), (1, "z"), (1, "z"), (1, ITEM), (2, "")]
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, item_id long, coverage string")
+    bench = spark.createDataFrame([(4, ITEM, 0.0), (None, "z", 0.0), (5, None, 0.0)], "item_id long, text string, coverage double")
+    kept = without_contaminated(docs, bench, Settings(short=True))
+    assert kept.dtypes == docs.dtypes
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([x for x in rows if x[1] != ITEM], key=str)
+    assert without_contaminated(docs, bench.limit(0)).count() == 6 and without_contaminated(docs.limit(0), bench).count() == 0
 
 
 def test_names_that_open_sentences(spark):
