@@ -170,9 +170,9 @@ def _(b):
 
 @query("q18_table_twice", "SELECT c_custkey, s_suppkey, a.n_name AS c_nation, b.n_name AS s_nation FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN supplier ON a.n_nationkey = s_nationkey JOIN nation b ON s_nationkey = b.n_nationkey")
 def _(b):
-    rel = b.scan("customer", "c_custkey", "c_nationkey").join(b.scan("nation", "n_nationkey", "n_name"), "c_nationkey = n_nationkey")
-    rel = rel.join(b.scan("supplier", "s_suppkey", "s_nationkey"), "n_nationkey = s_nationkey", ["c_custkey", "s_suppkey", "n_name", "s_nationkey"])
-    rel = rel.join(b.scan("nation", "n_nationkey", "n_name"), "s_nationkey = n_nationkey", ["#0", "#1", "#2", "#5"])
+    left = b.scan("customer", "c_custkey", "c_nationkey").join(b.scan("nation", "n_nationkey", "n_name"), "c_nationkey = n_nationkey", ["c_custkey", "n_nationkey", "n_name"])
+    right = b.scan("supplier", "s_suppkey", "s_nationkey").join(b.scan("nation", "n_nationkey", "n_name"), "s_nationkey = n_nationkey", ["s_suppkey", "s_nationkey", "n_name"])
+    rel = left.join(right, "n_nationkey = s_nationkey", ["#0", "#3", "#2", "#5"], spread=True)  # last, as it multiplies rows
     return rel.compile(["c_custkey", "s_suppkey", "c_nation", "s_nation"])
 
 

@@ -301,3 +301,34 @@ def test_write_result(spark, tmp_path):
         write_result(df, f"{tmp_path}/out")
     write_result(df, f"{tmp_path}/out", mode="overwrite")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+@pytest.mark.parametrize("strings", ["early", "late"])
+@pytest.mark.parametrize("key", [I32, F64, STR])
+def test_spread_joins_give_the_same_rows(spark, key, strings):
+    cast = {I32: int, F64: float, STR: str}[key]
+    rows = lambda n: [(None, "n"), *([(math.nan, "nan"), (-0.0, "m")] * (key is F64)), *((cast(0 if i % 3 else i % 7), f"{i % 50}") for i in range(n))]
+    left, right = [(*r, i) for i, r in enumerate(rows(900))], [(*r, i) for i, r in enumerate(rows(40) * 20)]
+    plan = Plan(inputs=[table(spark, [key, STR, I32], left, 2), table(spark, [key, STR, I32], right, 2)])
+    sides = [plan.add_scan(k, [(0, key), (1, STR), (2, I32)]) for k in (0, 1)]
+    counts = []
+    for spread in (False, True):
+        plan.root = plan.add_join(*sides, 0, 0, [(2, I32), (5, I32), (1, STR), (4, STR)], spread=spread)
+        again = Plan.from_json(plan.to_json(), plan.inputs)
+        assert again.nodes == plan.nodes
+        df = compile_plan(again, strings=strings)
+        counts.append(df.selectExpr("count(*)", "sum(xxhash64(*) % 1000003)", "count(DISTINCT *)").first())
+    assert counts[0] == counts[1] and counts[0][0] > 300_000
+
+
+def test_cells_hold_each_pair_once(spark):
+    from joinloom.functions.keys import in_cells
+
+    left = spark.createDataFrame([(k, v) for v in range(60) for k in (1, 2, None)] + [(3, 0), (5, 0)], "k int, v int")
+    right = spark.createDataFrame([(1, v) for v in range(45)] + [(2, 0), (3, 0), (4, 0), (None, 0)], "r int, w int")
+    a, b, cells = in_cells(left, right, "k", "r", 7, rows=4)
+    assert a.filter("k = 1").count() == 60 * 12 and b.filter("r = 1").count() == 45 * 15
+    assert a.filter("k = 5 OR k IS NULL").count() == 61 and b.filter("r = 4 OR r IS NULL").count() == 2
+    pairs = a.join(b, (a.k == b.r) & (a[cells[0]] == b[cells[0]]) & (a[cells[1]] == b[cells[1]])).select("k", "v", "w")
+    want = Counter([(1, v, w) for v in range(60) for w in range(45)] + [(2, v, 0) for v in range(60)] + [(3, 0, 0)])
+    assert Counter(map(tuple, pairs.collect())) == want
