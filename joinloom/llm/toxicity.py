@@ -9,10 +9,10 @@ broadcasting it has a proven bound.  Scoring is one pass without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +41,8 @@ class Settings:
     rarest: int = 1500
 
 
+#: Feature numbers counted at a time.
+BLOCK = 1 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -84,6 +86,44 @@ def weights(z: np.ndarray, root: np.ndarray, s: Settings, bias: np.ndarray) -> n
     return np.where(np.abs(z) <= l1, 0, (np.sign(z) * l1 - z) / ((s.beta + root) / s.alpha + s.l2))
 
 
+def learned(batches: Iterator[pa.RecordBatch], s: Settings) -> pa.RecordBatch:
+    """Numbers and values (i, w) of the weights that aren't zero, from rows (doc_id, y,
+    x: feature numbers as bytes).
+
+    The worker lives on after this task, so memory counts: the numbers stay in the
+    batches' own buffers, and those used are copied once, into one array that the rows
+    are parts of.  Arrays for each row would be several times as much, and leave it scattered."""
+    dims, ids, labels, held = (1 << s.bits) + 1, [np.empty(0, np.int64)], [np.empty(0, np.int32)], []
+    for b in batches:
+        x = b.column("x").cast(pa.large_binary())
+        ends = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] // 4
+        held.append((np.frombuffer(x.buffers()[2] or b"", np.int32, ends[-1]), ends))
+        ids.append(b.column("doc_id").to_numpy())
+        labels.append(b.column("y").to_numpy())
+    ids, labels = np.concatenate(ids), np.concatenate(labels)
+    count = np.zeros(dims, np.int64)
+    for x, ends in held:
+        for at in range(ends[0], ends[-1], BLOCK):
+            count += np.bincount(x[at : min(at + BLOCK, ends[-1])], minlength=dims)
+    often = count >= min(8, max(2, len(ids) // s.rarest))
+    used = np.empty(int(count[often].sum()) + len(ids), np.int32)
+    stops = [0]
+    while held:
+        x, ends = held.pop(0)
+        for i, j in zip(ends, ends[1:], strict=False):
+            row = x[i:j]
+            row = row[often[row]]
+            used[stops[-1] : stops[-1] + len(row)] = row
+            stops.append(stops[-1] + len(row) + 1)
+            used[stops[-1] - 1] = dims - 1
+    b = x = None  # else the last batch stays during training
+    order = np.lexsort((ids, arrays.mix(ids.view(U))))
+    z, n = train([used[stops[i] : stops[i + 1]] for i in order], labels[order], (np.zeros(dims), np.zeros(dims)), s)
+    w = weights(z, np.sqrt(n), s, np.arange(dims) == dims - 1)
+    at = np.flatnonzero(w)
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at])], ["i", "w"])
+
+
 def crc(column) -> F.Column:
     return F.crc32(column.cast("string").cast("binary"))
 
@@ -112,20 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), mod
     so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.select("doc_id", F.coalesce(F.sum(F.octet_length("x")).over(so_far), F.lit(0)).alias("before"))  # at most s.rows rows
     rows = rows.join(F.broadcast(first.filter(F.col("before") < s.bytes).select("doc_id")), "doc_id")
-    dims = (1 << s.bits) + 1
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(h=arrays.mix(pdf["doc_id"].to_numpy().view(U))).sort_values(["h", "doc_id"])
-        x = [np.frombuffer(b, np.int32) for b in pdf["x"]]
-        often = np.bincount(np.concatenate(x), minlength=dims) >= min(8, max(2, len(x) // s.rarest))
-        x = [np.append(v[often[v]], dims - 1) for v in x]
-        z, n = train(x, pdf["y"].to_numpy(), (np.zeros(dims), np.zeros(dims)), s)
-        w = weights(z, np.sqrt(n), s, np.arange(dims) == dims - 1)
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"i": at, "w": w[at]})
-
-    got = rows.withColumn("sample", F.col("y") * 0).groupBy("sample").applyInPandas(learn, "i int, w double").toPandas().sort_values("i")  # at most 2^bits rows
-    inner = got["i"] < dims - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield learned(batches, s)
+
+    got = rows.withColumn("sample", F.col("y") * 0).groupBy("sample").applyInArrow(run, "i int, w double").toPandas().sort_values("i")  # at most 2^bits rows
+    inner = got["i"] < 1 << s.bits
     bias = got["w"][~inner]
     return got["i"][inner].to_numpy(), got["w"][inner].to_numpy(), float(bias.sum())
 

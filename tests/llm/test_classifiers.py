@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +121,21 @@ def test_sample_bytes_are_bounded(spark):
     assert len(none[0]) == 0 and none[2] == 0.0
 
 
+def test_training_holds_its_sample_once():
+    """Numpy's memory, besides the batches' own, is about a copy of the numbers used."""
+    r, s = np.random.default_rng(1), Settings(bits=16, epochs=1)
+    x = [np.unique(r.integers(0, 1 << s.bits, 20_000, np.int32)) for _ in range(400)]
+    rows = pa.record_batch({"doc_id": pa.array(range(400), pa.int64()), "y": pa.array([i % 2 for i in range(400)], pa.int32()), "x": pa.array([v.tobytes() for v in x], pa.binary())})
+    total = sum(v.nbytes for v in x)
+    tracemalloc.start()
+    whole = toxicity_module.learned(iter([rows]), s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total > 20e6 and peak < 2 * total
+    parts = toxicity_module.learned(iter([rows.slice(300), rows.slice(0, 0), rows.slice(0, 300)]), s)
+    assert whole.num_rows > 100 and parts.equals(whole)
+
+
 def test_equations_equal_plain_loop(spark):
     """Random Fourier features, their normal equations and ridge weights, row by row."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
